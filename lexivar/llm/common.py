@@ -64,7 +64,7 @@ def components(scratch: Scratch, links: DataFrame, label: str, max_rounds: int =
         jump = low.select(F.col("id").alias("low"), F.col("low").alias("far"))
         new = low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("comp"), (F.least("low", F.coalesce("far", "low")) < F.col("was")).alias("moved"))
         new = scratch.save(new, f"{label}-{i}")
-        moved = new.where("moved").limit(1).count()
+        moved = not new.where("moved").isEmpty()
         state = new.select("id", "comp")
         scratch.drop(f"{label}-{i - 1}")
         if not moved:

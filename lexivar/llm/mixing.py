@@ -76,7 +76,7 @@ def multipliers(scratch: Scratch, hist: DataFrame, targets: DataFrame, cap: floa
         nxt = F.when(F.col("done"), F.col("lam")).when(inside, F.col("step")).when(F.col("step") >= F.col("hi"), F.col("hi")).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = scratch.save(x.select("source", "mean", "target", nxt.alias("lam"), "lo", "hi", (F.col("done") | (nxt == F.col("lam"))).alias("done")), f"dual-{i}")
         scratch.drop(f"dual-{i - 1}")
-        if not state.where(~F.col("done")).limit(1).count():
+        if state.where(~F.col("done")).isEmpty():
             break
     return state.select("source", "mean", "lam")
 

@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         pairs = ordered(centre.join(live.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx <> cy"))
         step += 1
         new = scratch.save(pairs.join(seen, ["a", "b"], "left_anti"), f"pairs-{step}")
-        done = not new.limit(1).count()
-        if done and not live.where((F.col("size") > SMALL) & (F.col("size") > centres)).limit(1).count():
+        done = new.isEmpty()
+        if done and live.where((F.col("size") > SMALL) & (F.col("size") > centres)).isEmpty():
             break
         if not done:
             links = scratch.save(links.unionByName(check(new, f"found-{step}")), f"links-{step}")

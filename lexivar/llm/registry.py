@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from .ann import op7_nearest
+from .decontam import OP4_SQL, op4_decontaminate
 from .langid import op10_langid
 from .mixing import op1_entropy_mix
 from .neardup import op9_near_duplicates
+from .quality import op2_quality
 from .warc import op5_warc
 
 
 def queries() -> dict:
-    return {"op1_entropy_mix": op1_entropy_mix, "op5_warc": op5_warc, "op9_near_duplicates": op9_near_duplicates, "op10_langid": op10_langid}
+    return {
+        "op1_entropy_mix": op1_entropy_mix,
+        "op2_quality": op2_quality,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_warc": op5_warc,
+        "op7_nearest": op7_nearest,
+        "op9_near_duplicates": op9_near_duplicates,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4_SQL}
