@@ -86,7 +86,7 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 _SHINGLES = r"""
   select id, array_to_string(w[i:i + 4], ' ') as s, len(w) as n
-  from (select {id} as id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from {table}) t,
+  from (select {id} as id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from {table}) t,
   unnest(range(1, len(w) - 3)) as r(i)
 """
 #: Items of under five words do not occur in these tables, so the SQL leaves their rule out.

@@ -5,8 +5,10 @@ from __future__ import annotations
 from .ann import op7_nearest
 from .decontam import OP4_SQL, op4_decontaminate
 from .langid import op10_langid
+from .linededup import op3_line_dedup
 from .mixing import op1_entropy_mix
 from .neardup import op9_near_duplicates
+from .pii import op8_pii
 from .quality import op2_quality
 from .warc import op5_warc
 
@@ -15,9 +17,11 @@ def queries() -> dict:
     return {
         "op1_entropy_mix": op1_entropy_mix,
         "op2_quality": op2_quality,
+        "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_warc": op5_warc,
         "op7_nearest": op7_nearest,
+        "op8_pii": op8_pii,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_langid": op10_langid,
     }
