@@ -10,10 +10,10 @@ all registers of a band are candidates; bands are as many as make a miss at the
 joint likelihood over all registers (how many are equal, greater, less, given both sizes) puts aside pairs that are
 far below the threshold; every link is then confirmed on the full sets.
 
-A bucket never emits all its pairs: in each round some of its members are centres, centres are paired only with
-members of other components, and confirmed links merge components before the next round. A centre has been compared
-with all others, so it never comes back; rounds end when no bucket has unseen pairs between components. Buckets
-of at most SMALL members finish in one round. So no link between two components is lost, however large a bucket is.
+A bucket never emits all its pairs: sketches decide within the bucket which pairs are worth a look, pairs of one
+component are not looked at again, and what lies near the threshold comes out for a bounded number of members a round. Confirmed
+links merge components before the next round. Rounds end when no bucket has unseen pairs between components, so no link
+between two components is lost, however large a bucket is.
 
 Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept. Repeated ids
 with equal texts are one group whose rows all have doc_id = component_id. Empty tables give empty results.
@@ -28,16 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import Scratch, components, table
 from .text import distinct_per_doc, mix, pieces, shingles, words
 
-ROWS = 4
+ROWS = 6
 BASE = 1.02
 LIMIT = 2046
-SMALL = 48
-CENTRES = 4
+REGISTERS = 384
+BLOCK = 2048
+CENTRES = 64
 _U = np.uint64
 
 
@@ -52,15 +52,20 @@ def registers(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     if not len(full):
         return out
     starts, ends = bounds[full], bounds[full + 1]
-    seeds = mix(np.arange(1, 2 * m + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-    low = np.full((len(full), m), np.iinfo(np.uint32).max, np.uint32)
+    u = np.uint32
+    seeds = (mix(np.arange(1, 3 * m + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(u) | u(1)
+    low = np.empty((len(full), m), u)
+    narrow = (mix(values) >> _U(32)).astype(u)
     # In runs of sets that fit the cache.
     at = 0
     while at < len(full):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + 32768, "right")))
-        part, cut = values[starts[at] : ends[to - 1]], starts[at:to] - starts[at]
+        part, cut = narrow[starts[at] : ends[to - 1]], starts[at:to] - starts[at]
         for i in range(m):
-            low[at:to, i] = np.minimum.reduceat(((part ^ seeds[2 * i]) * seeds[2 * i + 1] >> _U(32)).astype(np.uint32), cut)
+            x = (part ^ seeds[3 * i]) * seeds[3 * i + 1]
+            x ^= x >> u(15)
+            x *= seeds[3 * i + 2]
+            low[at:to, i] = np.minimum.reduceat(x, cut)
         at = to
     exponential = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32)
     out[full] = np.clip(1 - np.floor(np.log(exponential) / np.log(BASE)), 0, LIMIT).astype(np.uint16)
@@ -68,12 +73,12 @@ def registers(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood J of pairs of sketches, from the counts of registers where a > b, b > a and both agree."""
+    """Maximum-likelihood J (0.4 at least, in steps of 0.02) of pairs of sketches, from the counts of registers where a > b, b > a and both agree."""
     more, less = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - more - less
     u, v = na / (na + nb), nb / (na + nb)
     top = np.minimum(u, v) / np.maximum(u, v)
-    grid = np.linspace(0, 1, 101)[None, :] * top[:, None]
+    grid = np.linspace(0.4, 1, 31)[None, :] * top[:, None]
     log_b = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
     p, q = log_b(u[:, None] - v[:, None] * grid), log_b(v[:, None] - u[:, None] * grid)
     fit = more[:, None] * np.log(np.maximum(p, 1e-12)) + less[:, None] * np.log(np.maximum(q, 1e-12)) + same[:, None] * np.log(np.maximum(1 - p - q, 1e-12))
@@ -126,18 +131,56 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(confirm, "a long, b long")
 
 
-def _likely(pairs: DataFrame, floor: float, m: int) -> DataFrame:
-    """pairs(a, b, na, nb, ra, rb) -> (a, b) whose likelihood estimate is not far below the threshold."""
-
-    def filter_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                p = batch.slice(at, 2000)
-                a, b = (np.frombuffer(b"".join(x.as_py() for x in p.column(c)), np.uint16).reshape(-1, m) for c in ("ra", "rb"))
-                na, nb = (p.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-                yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b")], ["a", "b"]).filter(pa.array(likely_jaccard(a, b, na, nb) >= floor))
-
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(filter_, "a long, b long")
+def _candidates(live: DataFrame, m: int, floor: float, sure: float, centres: int) -> DataFrame:
+    """live(bucket, band, rep, size, comp, n, regs) -> (bucket, a, b): pairs of different components that may be links, by their joint likelihood.
+
+    Pairs far below the threshold are put aside here, on the sketches. A pair far above it joins its two components at once, so a group of close
+    copies gives about as many pairs as it has members. Of the pairs in between, those of the first `centres` members are
+    returned; a bucket with more of them returns a row with a = b and comes back when these are confirmed.
+    """
+
+    def pick(group: pa.Table) -> pa.Table:
+        ids, comps = group.column("rep").to_numpy(), group.column("comp").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        regs = np.frombuffer(b"".join(x.as_py() for x in group.column("regs")), np.uint16).reshape(-1, m)[order]
+        n, ids = group.column("n").to_numpy().astype(float)[order], ids[order]
+        _, label = np.unique(comps[order], return_inverse=True)
+        bucket, band, out, used, more = group.column("bucket")[0].as_py(), group.column("band")[0].as_py(), [], 0, False
+        earlier = np.ascontiguousarray(regs[:, : band * ROWS]).reshape(len(regs), band, ROWS)
+        for i in range(len(ids) - 1):
+            rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            rest = rest[np.minimum(n[rest], n[i]) >= floor * np.maximum(n[rest], n[i])]
+            if not len(rest):
+                continue
+            same = (regs[rest] == regs[i]).mean(1)
+            rest = rest[same >= floor]  # registers agree at least as often as J
+            if band and len(rest):  # a pair that shares an earlier band is looked at there
+                rest = rest[~(earlier[rest] == earlier[i]).all(2).any(1)]
+            if not len(rest):
+                continue
+            likely = likely_jaccard(regs[rest], np.broadcast_to(regs[i], (len(rest), m)), n[rest], np.full(len(rest), n[i]))
+            for j in rest[likely >= sure]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((ids[i], ids[j]))
+            between = rest[(likely >= floor) & (likely < sure)]
+            between = between[label[between] != label[i]]
+            if len(between):
+                used += 1
+                if used > centres:
+                    more = True
+                    break
+                out += [(ids[i], ids[j]) for j in between]
+        if more:
+            out.append((ids[0], ids[0]))
+        return pa.table([pa.array([bucket] * len(out), pa.int64()), *(pa.array([int(x[c]) for x in out], pa.int64()) for c in (0, 1))], ["bucket", "a", "b"])
+
+    # A bucket of more than BLOCK members is dealt out in pairs of blocks, each of which fits a task.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    live = live.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return live.select("bucket", "i", "j", "band", "rep", "comp", "n", "regs").groupBy("bucket", "i", "j").applyInArrow(pick, "bucket long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -146,52 +189,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "neardup")
     threshold = num / den
     bands = bands_for(threshold)
-    m = bands * ROWS
+    m = max(REGISTERS, bands * ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     drawn = scratch.save(sketches(rows, k, m), "sketches")
     sets = drawn.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
     reps = scratch.save(sets.select("rep", "n", "regs"), "reps")
     # One row for each band of each distinct set: a hash of the band's registers.
     band = lambda i: F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)
-    member = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(band(i)) for i in range(bands)])).alias("band", "h"))
-    shared = member.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
-    member = scratch.save(member.join(shared, ["band", "h"]).select(F.xxhash64("band", "h").alias("bucket"), "rep", "size", "centre"), "member")
-    wanted = scratch.save(member.select("rep").distinct(), "wanted")
-    sketch_of = scratch.save(reps.join(wanted, "rep").select("rep", "n", "regs"), "wanted-regs")
-    scratch.drop("reps")
-    # Only documents that share a bucket have their sets written out; one document stands for all with an equal set.
-    items = scratch.save(packed_sets(rows.join(wanted.withColumnRenamed("rep", "id"), "id").dropDuplicates(["id"]), k), "items")
-    floor = max(0.0, threshold - 6 * math.sqrt(threshold * (1 - threshold) / m))
-
-    def check(pairs: DataFrame, label: str) -> DataFrame:
-        side = lambda s: sketch_of.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-        size = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        likely = _likely(pairs.join(side("a"), "a").join(side("b"), "b").where(size), floor, m)
-        sides = [items.select(F.col("id").alias(s), F.col("items").alias(f"items_{s}")) for s in ("a", "b")]
-        return scratch.save(_confirm(likely.join(sides[0], "a").join(sides[1], "b"), num, den), label)
-
-    ordered = lambda p: p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    seen = scratch.save(ordered(member.select(F.col("centre").alias("x"), F.col("rep").alias("y"))), "pairs-0")
-    links = check(seen, "links-0")
-    step, centres = 0, CENTRES
+    member = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(band(i)) for i in range(bands)])).alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"), "band")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = scratch.save(member.join(shared, "bucket"), "member")
+    margin = math.sqrt(threshold * (1 - threshold) / m)
+    items, links, seen, comp, step = None, None, None, None, 0
     while True:
+        live = member if comp is None else member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+        live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp")).join(reps, "rep")
+        found = scratch.save(_candidates(live, m, threshold - 4.5 * margin, threshold + 4.5 * margin, CENTRES * 8**step), f"found-{step}")
+        pairs = found.where("a <> b").select("a", "b").distinct()
+        new = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"pairs-{step}")
+        # Only documents that are in a pair have their sets written out; one document stands for all with an equal set.
+        wanted = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        items = scratch.save(packed_sets(rows.join(wanted, "id").dropDuplicates(["id"]), k), f"items-{step}")
+        sides = [items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
+        good = _confirm(new.join(sides[0], "a").join(sides[1], "b"), num, den)
+        links = scratch.save(good if links is None else links.unionByName(good), f"links-{step}")
+        scratch.drop(f"items-{step}")
+        seen = new if seen is None else scratch.save(seen.unionByName(new), f"seen-{step}")
         comp = components(scratch, links, f"comp{step}")
-        live = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-        live = scratch.save(live.join(open_, "bucket").withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(step)), "rep"))), f"live{step}")
-        centre = live.where((F.col("size") <= SMALL) | (F.col("place") <= centres)).select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-        pairs = ordered(centre.join(live.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx <> cy"))
-        step += 1
-        new = scratch.save(pairs.join(seen, ["a", "b"], "left_anti"), f"pairs-{step}")
-        done = new.isEmpty()
-        if done and live.where((F.col("size") > SMALL) & (F.col("size") > centres)).isEmpty():
+        unfinished = found.where("a = b").select("bucket").distinct()
+        if unfinished.isEmpty():
             break
-        if not done:
-            links = scratch.save(links.unionByName(check(new, f"found-{step}")), f"links-{step}")
-            seen = scratch.save(seen.unionByName(new), f"seen-{step}")
-        centres *= 4
+        member, step = scratch.save(member.join(unfinished, "bucket"), f"member-{step}"), step + 1
+    scratch.drop("member", "reps")
     # Back to documents: rows of equal sets share their representative, representatives their component.
-    scratch.drop("items", "member", "wanted-regs")
     key = drawn.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     linked = key.join(comp.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or comp is not null").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = drawn.select("id", "n", "fp1", "fp2").join(linked, ["fp1", "fp2", "n"], "left")
