@@ -47,7 +47,7 @@ def dominant_pick(candidates, k: int = 3) -> Column:
 
 
 def hint_slice(items, n: int) -> Column:
-    return F.slice(F.array_distinct(F.transform(col(items), F.trim)), 1, n)
+    return F.slice(F.array_distinct(F.transform(col(items), lambda x: F.trim(x))), 1, n)
 
 
 def render_prompt(body, ids, max_body: int = 5120, max_ids: int = 20) -> Column:
