@@ -26,8 +26,8 @@ from .common import Scratch, table
 
 LINES = 128
 ALPHA = 0.3
-GROWTH = 1.3
-START = 0.05
+GROWTH = 1.4
+START = 0.2
 Z = 2.2
 BLOCK = 16_384
 QUERY_BLOCK = 4_096
@@ -54,21 +54,25 @@ class Block:
         self.lines = np.random.default_rng(7).standard_normal((vectors.shape[1], LINES))
         projected = (self.vectors / self.norms[:, None]) @ self.lines
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(projected, self.order.T, 0).T.copy()
+        # All lines in one sorted array, each shifted clear of the one before, so that one search serves them all.
+        self.shift = 4 * np.abs(projected).max(initial=1.0) * np.arange(LINES) + 1e3 * np.arange(LINES)
+        self.flat = (np.take_along_axis(projected, self.order.T, 0) + self.shift).T.ravel()
+        self.flat_order = self.order.ravel()
 
     def search(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
         n, q = len(self.vectors), query.astype(np.float64)
         norm = np.sqrt((q**2).sum())
         at = (q / norm) @ self.lines
         counts, tried = np.zeros(n, np.int32), np.zeros(n, bool)
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
+        centre, first = at + self.shift, n * np.arange(LINES)
+        lo = np.clip(np.searchsorted(self.flat, centre), first, first + n)
         hi, half, need, best = lo.copy(), START, int(np.ceil(ALPHA * LINES)), []
         while True:
-            to_lo = [int(np.searchsorted(s, x - half, "left")) for s, x in zip(self.sorted, at)]
-            to_hi = [int(np.searchsorted(s, x + half, "right")) for s, x in zip(self.sorted, at)]
-            new = [o[a:b] for o, a, b in zip(self.order, to_lo, lo)] + [o[b:a] for o, a, b in zip(self.order, to_hi, hi)]
+            to_lo = np.maximum(np.searchsorted(self.flat, centre - half, "left"), first)
+            to_hi = np.minimum(np.searchsorted(self.flat, centre + half, "right"), first + n)
+            new = [self.flat_order[i:j] for i, j in zip(np.r_[to_lo, hi], np.r_[lo, to_hi])]
             counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            lo, hi = np.minimum(lo, to_lo), np.maximum(hi, to_hi)
+            lo, hi = to_lo, to_hi
             fresh = np.flatnonzero((counts >= need) & ~tried)
             if len(fresh):
                 tried[fresh] = True
