@@ -11,8 +11,8 @@ joint likelihood over all registers (how many are equal, greater, less, given bo
 far below the threshold; every link is then confirmed on the full sets.
 
 A bucket never emits all its pairs: sketches decide within the bucket which pairs are worth a look, pairs of one
-component are not looked at again, and what lies near the threshold comes out for a bounded number of members a round. Confirmed
-links merge components before the next round. Rounds end when no bucket has unseen pairs between components, so no link
+component are not looked at again, and of what lies near the threshold each member names its likeliest partners only. Confirmed
+links merge components before the next round, in which members may name more partners. Rounds end when no bucket has unseen pairs between components, so no link
 between two components is lost, however large a bucket is.
 
 Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept. Repeated ids
@@ -35,9 +35,11 @@ from .text import distinct_per_doc, mix, pieces, shingles, words
 ROWS = 6
 BASE = 1.02
 LIMIT = 2046
-REGISTERS = 384
+REGISTERS = 512
 BLOCK = 2048
-CENTRES = 64
+GROWTH = 8
+SIEVE_BITS = 1 << 25
+NAMED = "bucket long, i int, j int, a long, b long"
 _U = np.uint64
 
 
@@ -73,12 +75,12 @@ def registers(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood J (0.4 at least, in steps of 0.02) of pairs of sketches, from the counts of registers where a > b, b > a and both agree."""
+    """Maximum-likelihood J (0.4 at least, in steps of 0.01) of pairs of sketches, from the counts of registers where a > b, b > a and both agree."""
     more, less = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - more - less
     u, v = na / (na + nb), nb / (na + nb)
     top = np.minimum(u, v) / np.maximum(u, v)
-    grid = np.linspace(0.4, 1, 31)[None, :] * top[:, None]
+    grid = np.linspace(0.4, 1, 61)[None, :] * top[:, None]
     log_b = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
     p, q = log_b(u[:, None] - v[:, None] * grid), log_b(v[:, None] - u[:, None] * grid)
     fit = more[:, None] * np.log(np.maximum(p, 1e-12)) + less[:, None] * np.log(np.maximum(q, 1e-12)) + same[:, None] * np.log(np.maximum(1 - p - q, 1e-12))
@@ -114,6 +116,20 @@ def packed_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id long, items binary")
 
 
+def _sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """Drops most rows whose id is not wanted before their texts are shuffled; every wanted row stays.
+
+    Ids hash to a bitmap of `bits` bits, so what is broadcast never exceeds bits / 8 bytes (4 MiB), however many ids there are; with very many
+    of them it lets more unwanted rows through to the exact join.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    slots = wanted.select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("pos")).repartition("slot")
+    maps = slots.groupBy("slot").agg(F.bitmap_construct_agg("pos").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("slot", F.bitmap_bucket_number(at)).withColumn("pos", F.bitmap_bit_position(at))
+    return placed.join(F.broadcast(maps), "slot").where(F.getbit(byte, (F.col("pos") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """pairs(a, b, items_a, items_b) -> those with den * |A n B| >= num * |A u B|, on the full sets."""
 
@@ -131,24 +147,35 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(confirm, "a long, b long")
 
 
-def _candidates(live: DataFrame, m: int, floor: float, sure: float, centres: int) -> DataFrame:
-    """live(bucket, band, rep, size, comp, n, regs) -> (bucket, a, b): pairs of different components that may be links, by their joint likelihood.
+def _candidates(live: DataFrame, named: DataFrame, m: int, floor: float, least: float, sure: float, partners: int) -> DataFrame:
+    """live(bucket, band, rep, size, comp, n, regs), named(bucket, i, j, a, b) -> (bucket, i, j, a, b): pairs of different components that may be links, by their joint likelihood.
 
     Pairs far below the threshold are put aside here, on the sketches. A pair far above it joins its two components at once, so a group of close
-    copies gives about as many pairs as it has members. Of the pairs in between, those of the first `centres` members are
-    returned; a bucket with more of them returns a row with a = b and comes back when these are confirmed.
+    copies gives about as many pairs as it has members. Of the pairs in between, each member returns its `partners` likeliest
+    of at least `least` that were not named before; a bucket with more of them returns a row with a = b and comes back when these are confirmed.
     """
 
-    def pick(group: pa.Table) -> pa.Table:
+    names, types = ["bucket", "i", "j", "a", "b"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def pick(group: pa.Table, before: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
         ids, comps = group.column("rep").to_numpy(), group.column("comp").to_numpy()
         order = np.argsort(ids, kind="stable")
         regs = np.frombuffer(b"".join(x.as_py() for x in group.column("regs")), np.uint16).reshape(-1, m)[order]
         n, ids = group.column("n").to_numpy().astype(float)[order], ids[order]
         _, label = np.unique(comps[order], return_inverse=True)
-        bucket, band, out, used, more = group.column("bucket")[0].as_py(), group.column("band")[0].as_py(), [], 0, False
+        bucket, band, out, more = group.column("bucket")[0].as_py(), group.column("band")[0].as_py(), [], False
+        own, i_block, j_block = group.column("own").to_numpy()[order], group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        # Pairs named before, in order of their first member.
+        a, b = (np.searchsorted(ids, before.column(c).to_numpy()) for c in ("a", "b"))
+        a, b = a[np.argsort(a, kind="stable")], b[np.argsort(a, kind="stable")]
+        known = np.searchsorted(a, np.arange(len(ids) + 1))
         earlier = np.ascontiguousarray(regs[:, : band * ROWS]).reshape(len(regs), band, ROWS)
         for i in range(len(ids) - 1):
             rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if i_block != j_block:  # pairs within one block are looked at where the block stands alone
+                rest = rest[own[rest] != own[i]]
             rest = rest[np.minimum(n[rest], n[i]) >= floor * np.maximum(n[rest], n[i])]
             if not len(rest):
                 continue
@@ -163,24 +190,24 @@ def _candidates(live: DataFrame, m: int, floor: float, sure: float, centres: int
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
                     out.append((ids[i], ids[j]))
-            between = rest[(likely >= floor) & (likely < sure)]
-            between = between[label[between] != label[i]]
-            if len(between):
-                used += 1
-                if used > centres:
-                    more = True
-                    break
-                out += [(ids[i], ids[j]) for j in between]
+            rest, likely = rest[fresh := ~np.isin(rest, b[known[i] : known[i + 1]])], likely[fresh]
+            between = (likely >= floor) & (likely < sure) & (label[rest] != label[i])
+            first = np.argsort(-likely[between], kind="stable")[:partners]
+            named = rest[between][first[likely[between][first] >= least]]
+            out += [(ids[i], ids[j]) for j in named]
+            more |= len(named) < between.sum()
         if more:
             out.append((ids[0], ids[0]))
-        return pa.table([pa.array([bucket] * len(out), pa.int64()), *(pa.array([int(x[c]) for x in out], pa.int64()) for c in (0, 1))], ["bucket", "a", "b"])
+        columns = [[bucket] * len(out), [i_block] * len(out), [j_block] * len(out), [int(x[0]) for x in out], [int(x[1]) for x in out]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     # A bucket of more than BLOCK members is dealt out in pairs of blocks, each of which fits a task.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     live = live.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return live.select("bucket", "i", "j", "band", "rep", "comp", "n", "regs").groupBy("bucket", "i", "j").applyInArrow(pick, "bucket long, a long, b long")
+    live = live.select("bucket", "i", "j", "own", "band", "rep", "comp", "n", "regs").groupBy("bucket", "i", "j")
+    return live.cogroup(named.groupBy("bucket", "i", "j")).applyInArrow(pick, NAMED)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -200,21 +227,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = scratch.save(member.join(shared, "bucket"), "member")
     margin = math.sqrt(threshold * (1 - threshold) / m)
-    items, links, seen, comp, step = None, None, None, None, 0
+    floor, sure = threshold - 4.5 * margin, threshold + 4.5 * margin
+    named, links, comp, step = spark.createDataFrame([], NAMED), None, None, 0
     while True:
         live = member if comp is None else member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp")).join(reps, "rep")
-        found = scratch.save(_candidates(live, m, threshold - 4.5 * margin, threshold + 4.5 * margin, CENTRES * 8**step), f"found-{step}")
-        pairs = found.where("a <> b").select("a", "b").distinct()
-        new = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"pairs-{step}")
+        found = scratch.save(_candidates(live, named, m, floor, floor if step else threshold, sure, GROWTH**step), f"found-{step}")
+        named = named.unionByName(found.where("a <> b"))
+        new = scratch.save(found.where("a <> b").select("a", "b").distinct(), f"pairs-{step}")
         # Only documents that are in a pair have their sets written out; one document stands for all with an equal set.
-        wanted = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        items = scratch.save(packed_sets(rows.join(wanted, "id").dropDuplicates(["id"]), k), f"items-{step}")
+        wanted = scratch.save(new.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"wanted-{step}")
+        items = scratch.save(packed_sets(_sieve(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), k), f"items-{step}")
         sides = [items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
         good = _confirm(new.join(sides[0], "a").join(sides[1], "b"), num, den)
         links = scratch.save(good if links is None else links.unionByName(good), f"links-{step}")
         scratch.drop(f"items-{step}")
-        seen = new if seen is None else scratch.save(seen.unionByName(new), f"seen-{step}")
         comp = components(scratch, links, f"comp{step}")
         unfinished = found.where("a = b").select("bucket").distinct()
         if unfinished.isEmpty():
