@@ -37,7 +37,7 @@ BASE = 1.02
 LIMIT = 2046
 REGISTERS = 512
 BLOCK = 2048
-GROWTH = 8
+GROWTH = 16
 SIEVE_BITS = 1 << 25
 NAMED = "bucket long, i int, j int, a long, b long"
 _U = np.uint64
@@ -117,7 +117,7 @@ def packed_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
-    """Drops most rows whose id is not wanted before their texts are shuffled; every wanted row stays.
+    """Drops most rows whose id is not wanted before its texts or sketches are shuffled; every wanted row stays.
 
     Ids hash to a bitmap of `bits` bits, so what is broadcast never exceeds bits / 8 bytes (4 MiB), however many ids there are; with very many
     of them it lets more unwanted rows through to the exact join.
@@ -231,7 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named, links, comp, step = spark.createDataFrame([], NAMED), None, None, 0
     while True:
         live = member if comp is None else member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp")).join(reps, "rep")
+        live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp"))
+        drawn_of = _sieve(reps.withColumnRenamed("rep", "id"), member.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+        live = live.join(drawn_of, "rep")
         found = scratch.save(_candidates(live, named, m, floor, floor if step else threshold, sure, GROWTH**step), f"found-{step}")
         named = named.unionByName(found.where("a <> b"))
         new = scratch.save(found.where("a <> b").select("a", "b").distinct(), f"pairs-{step}")
