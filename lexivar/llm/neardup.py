@@ -130,6 +130,16 @@ def _sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFr
     return placed.join(F.broadcast(maps), "slot").where(F.getbit(byte, (F.col("pos") % 8).cast("int")) == 1).select(*rows.columns)
 
 
+def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame, step: int) -> DataFrame:
+    """comp(id, comp) with the components that new links(a, b) join; only the new links are followed, between components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    comp = scratch.save(comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))), f"joined-{step}")
+    of = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"of_{x}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    to = components(scratch, between, f"comp{step}").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return scratch.save(comp.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), f"merged-{step}")
+
+
 def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """pairs(a, b, items_a, items_b) -> those with den * |A n B| >= num * |A u B|, on the full sets."""
 
@@ -228,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = scratch.save(member.join(shared, "bucket"), "member")
     margin = math.sqrt(threshold * (1 - threshold) / m)
     floor, sure = threshold - 4.5 * margin, threshold + 4.5 * margin
-    named, links, comp, step = spark.createDataFrame([], NAMED), None, None, 0
+    named, comp, step = spark.createDataFrame([], NAMED), None, 0
     while True:
         live = member if comp is None else member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp"))
@@ -242,9 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         items = scratch.save(packed_sets(_sieve(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), k), f"items-{step}")
         sides = [items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
         good = _confirm(new.join(sides[0], "a").join(sides[1], "b"), num, den)
-        links = scratch.save(good if links is None else links.unionByName(good), f"links-{step}")
+        links = scratch.save(good, f"links-{step}")
         scratch.drop(f"items-{step}")
-        comp = components(scratch, links, f"comp{step}")
+        if comp is None:
+            comp = components(scratch, links, f"comp{step}")
+        elif not links.isEmpty():
+            comp = _merged(scratch, comp, links, step)
         unfinished = found.where("a = b").select("bucket").distinct()
         if unfinished.isEmpty():
             break
