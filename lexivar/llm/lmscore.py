@@ -32,8 +32,8 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 FREQUENT = 65_536
 MOST = 256
-BUCKET_BYTES = 16 << 20
-HELD = 2_000_000
+BUCKET_BYTES = 4 << 20
+HELD = 500_000
 _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 _NO_ID = -(1 << 63)
