@@ -11,9 +11,10 @@ joint likelihood over all registers (how many are equal, greater, less, given bo
 far below the threshold; every link is then confirmed on the full sets.
 
 A bucket never emits all its pairs: sketches decide within the bucket which pairs are worth a look, pairs of one
-component are not looked at again, and of what lies near the threshold each member names its likeliest partners only. Confirmed
-links merge components before the next round, in which members may name more partners. Rounds end when no bucket has unseen pairs between components, so no link
-between two components is lost, however large a bucket is.
+component are not looked at again, and of what lies near the threshold each member names only its likeliest partner. Confirmed
+links merge components. Buckets that still have pairs near the threshold between components then meet once more, with
+the full sets, in blocks of bounded size: each such pair is tested in the task, which returns only the links that join
+components. So no link between two components is lost, however large a bucket is, and rows grow with members, not with pairs.
 
 Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept. Repeated ids
 with equal texts are one group whose rows all have doc_id = component_id. Empty tables give empty results.
@@ -37,9 +38,8 @@ BASE = 1.02
 LIMIT = 2046
 REGISTERS = 512
 BLOCK = 2048
-GROWTH = 16
+ITEMS = 1_000_000
 SIEVE_BITS = 1 << 25
-NAMED = "bucket long, i int, j int, a long, b long"
 _U = np.uint64
 
 
@@ -130,14 +130,14 @@ def _sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFr
     return placed.join(F.broadcast(maps), "slot").where(F.getbit(byte, (F.col("pos") % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame, step: int) -> DataFrame:
+def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp(id, comp) with the components that new links(a, b) join; only the new links are followed, between components."""
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    comp = scratch.save(comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))), f"joined-{step}")
+    comp = scratch.save(comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))), "joined")
     of = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"of_{x}"))
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    to = components(scratch, between, f"comp{step}").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return scratch.save(comp.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), f"merged-{step}")
+    to = components(scratch, between, "between").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return scratch.save(comp.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "merged")
 
 
 def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,67 +157,101 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(confirm, "a long, b long")
 
 
-def _candidates(live: DataFrame, named: DataFrame, m: int, floor: float, least: float, sure: float, partners: int) -> DataFrame:
-    """live(bucket, band, rep, size, comp, n, regs), named(bucket, i, j, a, b) -> (bucket, i, j, a, b): pairs of different components that may be links, by their joint likelihood.
+class _Bucket:
+    """The members of a bucket, or of two of its blocks, in order of id."""
+
+    def __init__(self, group: pa.Table, m: int) -> None:
+        ids = group.column("rep").to_numpy()
+        self.order = np.argsort(ids, kind="stable")
+        self.ids, self.m = ids[self.order], m
+        self.bucket, self.band, i, j = (group.column(c)[0].as_py() for c in ("bucket", "band", "i", "j"))
+        self.n = group.column("n").to_numpy().astype(float)[self.order]
+        self.own = None if i == j else group.column("own").to_numpy()[self.order]  # pairs within one block are looked at where the block stands alone
+        self.regs = np.frombuffer(b"".join(x.as_py() for x in group.column("regs")), np.uint16).reshape(-1, m)[self.order]
+        self.earlier = np.ascontiguousarray(self.regs[:, : self.band * ROWS]).reshape(len(ids), self.band, ROWS)
+        _, self.label = np.unique(group.column("comp").to_numpy()[self.order], return_inverse=True)
+
+    def partners(self, i: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components whose likely similarity with member i is at least `floor`, and that similarity."""
+        rest = i + 1 + np.flatnonzero(self.label[i + 1 :] != self.label[i])
+        if self.own is not None:
+            rest = rest[self.own[rest] != self.own[i]]
+        rest = rest[np.minimum(self.n[rest], self.n[i]) >= floor * np.maximum(self.n[rest], self.n[i])]
+        rest = rest[(self.regs[rest] == self.regs[i]).mean(1) >= floor]  # registers agree at least as often as J
+        if self.band and len(rest):  # a pair that shares an earlier band is looked at there
+            rest = rest[~(self.earlier[rest] == self.earlier[i]).all(2).any(1)]
+        if not len(rest):
+            return rest, np.zeros(0)
+        likely = likely_jaccard(self.regs[rest], np.broadcast_to(self.regs[i], (len(rest), self.m)), self.n[rest], np.full(len(rest), self.n[i]))
+        return rest[likely >= floor], likely[likely >= floor]
+
+    def merge(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+
+def _dealt(live: DataFrame, blocks) -> DataFrame:
+    """A bucket of more than one block is dealt out in pairs of blocks, each of which fits a task."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    live = live.withColumn("blocks", F.ceil(blocks).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return live.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "size", "total")
+
+
+def _candidates(live: DataFrame, m: int, floor: float, least: float, sure: float) -> DataFrame:
+    """live(bucket, band, rep, size, total, comp, n, regs) -> (bucket, a, b): pairs of different components that may be links, by their joint likelihood.
 
     Pairs far below the threshold are put aside here, on the sketches. A pair far above it joins its two components at once, so a group of close
-    copies gives about as many pairs as it has members. Of the pairs in between, each member returns its `partners` likeliest
-    of at least `least` that were not named before; a bucket with more of them returns a row with a = b and comes back when these are confirmed.
+    copies gives about as many pairs as it has members. Of the pairs in between, each member returns its likeliest of at least `least`; a bucket
+    with more of them returns a row with a = b too.
     """
 
-    names, types = ["bucket", "i", "j", "a", "b"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-    def pick(group: pa.Table, before: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table([pa.array([], t) for t in types], names)
-        ids, comps = group.column("rep").to_numpy(), group.column("comp").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        regs = np.frombuffer(b"".join(x.as_py() for x in group.column("regs")), np.uint16).reshape(-1, m)[order]
-        n, ids = group.column("n").to_numpy().astype(float)[order], ids[order]
-        _, label = np.unique(comps[order], return_inverse=True)
-        bucket, band, out, more = group.column("bucket")[0].as_py(), group.column("band")[0].as_py(), [], False
-        own, i_block, j_block = group.column("own").to_numpy()[order], group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        # Pairs named before, in order of their first member.
-        a, b = (np.searchsorted(ids, before.column(c).to_numpy()) for c in ("a", "b"))
-        a, b = a[np.argsort(a, kind="stable")], b[np.argsort(a, kind="stable")]
-        known = np.searchsorted(a, np.arange(len(ids) + 1))
-        earlier = np.ascontiguousarray(regs[:, : band * ROWS]).reshape(len(regs), band, ROWS)
-        for i in range(len(ids) - 1):
-            rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            if i_block != j_block:  # pairs within one block are looked at where the block stands alone
-                rest = rest[own[rest] != own[i]]
-            rest = rest[np.minimum(n[rest], n[i]) >= floor * np.maximum(n[rest], n[i])]
-            if not len(rest):
-                continue
-            same = (regs[rest] == regs[i]).mean(1)
-            rest = rest[same >= floor]  # registers agree at least as often as J
-            if band and len(rest):  # a pair that shares an earlier band is looked at there
-                rest = rest[~(earlier[rest] == earlier[i]).all(2).any(1)]
-            if not len(rest):
-                continue
-            likely = likely_jaccard(regs[rest], np.broadcast_to(regs[i], (len(rest), m)), n[rest], np.full(len(rest), n[i]))
+    def pick(group: pa.Table) -> pa.Table:
+        g, out, more = _Bucket(group, m), [], False
+        for i in range(len(g.ids) - 1):
+            rest, likely = g.partners(i, floor)
             for j in rest[likely >= sure]:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    out.append((ids[i], ids[j]))
-            rest, likely = rest[fresh := ~np.isin(rest, b[known[i] : known[i + 1]])], likely[fresh]
-            between = (likely >= floor) & (likely < sure) & (label[rest] != label[i])
-            first = np.argsort(-likely[between], kind="stable")[:partners]
-            named = rest[between][first[likely[between][first] >= least]]
-            out += [(ids[i], ids[j]) for j in named]
-            more |= len(named) < between.sum()
+                if g.label[j] != g.label[i]:
+                    g.merge(i, j)
+                    out.append((g.ids[i], g.ids[j]))
+            between = np.flatnonzero((likely < sure) & (g.label[rest] != g.label[i]))
+            if len(between):
+                best = between[likely[between].argmax()]
+                named = likely[best] >= least
+                if named:
+                    out.append((g.ids[i], g.ids[rest[best]]))
+                more |= len(between) > named
         if more:
-            out.append((ids[0], ids[0]))
-        columns = [[bucket] * len(out), [i_block] * len(out), [j_block] * len(out), [int(x[0]) for x in out], [int(x[1]) for x in out]]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
+            out.append((g.ids[0], g.ids[0]))
+        return pa.table([pa.array([g.bucket] * len(out), pa.int64()), *(pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1))], ["bucket", "a", "b"])
 
-    # A bucket of more than BLOCK members is dealt out in pairs of blocks, each of which fits a task.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    live = live.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    live = live.select("bucket", "i", "j", "own", "band", "rep", "comp", "n", "regs").groupBy("bucket", "i", "j")
-    return live.cogroup(named.groupBy("bucket", "i", "j")).applyInArrow(pick, NAMED)
+    return _dealt(live, F.col("size") / BLOCK).groupBy("bucket", "i", "j").applyInArrow(pick, "bucket long, a long, b long")
+
+
+def _settled(live: DataFrame, m: int, floor: float, num: int, den: int) -> DataFrame:
+    """live(bucket, band, rep, size, total, comp, n, regs, items) -> (a, b): links that join components, after a test of all pairs that may be links on their full sets."""
+
+    def settle(group: pa.Table) -> pa.Table:
+        g, out = _Bucket(group, m), []
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in group.column("items")]
+        sets = [sets[k] for k in g.order]
+        at = np.cumsum([0, *map(len, sets)])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(codes.max(initial=0) + 1, bool)
+        for i in range(len(g.ids) - 1):
+            rest, likely = g.partners(i, floor)
+            if not len(rest):
+                continue
+            mine = codes[at[i] : at[i + 1]]
+            held[mine] = True
+            for j in rest[np.argsort(-likely, kind="stable")]:
+                if g.label[j] != g.label[i]:
+                    shared = int(np.count_nonzero(held[codes[at[j] : at[j + 1]]]))
+                    if den * shared >= num * (len(sets[i]) + len(sets[j]) - shared):
+                        g.merge(i, j)
+                        out.append((g.ids[i], g.ids[j]))
+            held[mine] = False
+        return pa.table([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _dealt(live, F.greatest(F.col("size") / BLOCK, F.col("total") / ITEMS)).groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -233,36 +267,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reps = scratch.save(sets.select("rep", "n", "regs"), "reps")
     # One row for each band of each distinct set: a hash of the band's registers.
     band = lambda i: F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)
-    member = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(band(i)) for i in range(bands)])).alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"), "band")
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = scratch.save(member.join(shared, "bucket"), "member")
+    member = reps.select("rep", "n", F.posexplode(F.array(*[F.xxhash64(band(i)) for i in range(bands)])).alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"), "band", "n")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
+    member = scratch.save(member.drop("n").join(shared, "bucket"), "member")
     margin = math.sqrt(threshold * (1 - threshold) / m)
     floor, sure = threshold - 4.5 * margin, threshold + 4.5 * margin
-    named, comp, step = spark.createDataFrame([], NAMED), None, 0
-    while True:
-        live = member if comp is None else member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        live = live.select("bucket", "band", "rep", "size", (F.col("rep") if comp is None else F.coalesce("comp", "rep")).alias("comp"))
-        drawn_of = _sieve(reps.withColumnRenamed("rep", "id"), member.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
-        live = live.join(drawn_of, "rep")
-        found = scratch.save(_candidates(live, named, m, floor, floor if step else threshold, sure, GROWTH**step), f"found-{step}")
-        named = named.unionByName(found.where("a <> b"))
-        new = scratch.save(found.where("a <> b").select("a", "b").distinct(), f"pairs-{step}")
-        # Only documents that are in a pair have their sets written out; one document stands for all with an equal set.
-        wanted = scratch.save(new.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"wanted-{step}")
-        items = scratch.save(packed_sets(_sieve(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]), k), f"items-{step}")
-        sides = [items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
-        good = _confirm(new.join(sides[0], "a").join(sides[1], "b"), num, den)
-        links = scratch.save(good, f"links-{step}")
-        scratch.drop(f"items-{step}")
-        if comp is None:
-            comp = components(scratch, links, f"comp{step}")
-        elif not links.isEmpty():
-            comp = _merged(scratch, comp, links, step)
-        unfinished = found.where("a = b").select("bucket").distinct()
-        if unfinished.isEmpty():
-            break
-        member, step = scratch.save(member.join(unfinished, "bucket"), f"member-{step}"), step + 1
-    scratch.drop("member", "reps")
+
+    def drawn_of(some: DataFrame) -> DataFrame:
+        return _sieve(reps.withColumnRenamed("rep", "id"), some.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+
+    def items_of(ids: DataFrame) -> DataFrame:
+        """Only documents that are asked for have their sets written out; one document stands for all with an equal set."""
+        return packed_sets(_sieve(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), k)
+
+    found = scratch.save(_candidates(member.join(drawn_of(member), "rep").withColumn("comp", F.col("rep")), m, floor, threshold, sure), "found")
+    pairs = scratch.save(found.where("a <> b").select("a", "b").distinct(), "pairs")
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    items = scratch.save(items_of(wanted), "items")
+    sides = [items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b")]
+    links = scratch.save(_confirm(pairs.join(sides[0], "a").join(sides[1], "b"), num, den), "links")
+    scratch.drop("items")
+    comp = components(scratch, links, "comp")
+    # Buckets with more pairs near the threshold: these are tested where they meet.
+    open_ = scratch.save(member.join(found.where("a = b").select("bucket").distinct(), "bucket"), "open")
+    if not open_.isEmpty():
+        ids = scratch.save(open_.select(F.col("rep").alias("id")).distinct(), "open-ids")
+        items = scratch.save(items_of(ids), "open-items")
+        live = open_.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        live = live.join(drawn_of(open_), "rep").join(items.withColumnRenamed("id", "rep"), "rep")
+        links = scratch.save(_settled(live, m, floor, num, den), "settled")
+        scratch.drop("open-items")
+        if not links.isEmpty():
+            comp = _merged(scratch, comp, links)
+    scratch.drop("member", "open", "reps")
     # Back to documents: rows of equal sets share their representative, representatives their component.
     key = drawn.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     linked = key.join(comp.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or comp is not null").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
