@@ -224,14 +224,10 @@ def dominant_pick(spark, d):
 
 @query("""select user_id, array_to_string(list(event_type || ':' || event_id order by event_type, event_id), ',') names, count(*) n from events group by user_id""")
 def combine_rounds(spark, d):
-    """Rounds unioned, then one ordered candidate list a key."""
-    e = t(spark, d, "events")
-    rounds = [e.where(F.col("event_type") == k) for k in sorted(r[0] for r in e.select("event_type").distinct().limit(100).collect())]
-    x = rounds[0]
-    for r in rounds[1:]:
-        x = x.unionByName(r)
-    x = R.ordered_lists(x, ["user_id"], ["event_type", "event_id"], [])
-    return x.select("user_id", F.array_join(F.transform("items", lambda i: F.concat(i["event_type"], F.lit(":"), i["event_id"].cast("string"))), ",").alias("names"), F.size("items").cast("bigint").alias("n"))
+    """The rounds of all types, the missing one included, as one ordered candidate list a key."""
+    x = R.ordered_lists(t(spark, d, "events"), ["user_id"], ["event_type", "event_id"], [])
+    names = F.filter(F.transform("items", lambda i: F.concat(i["event_type"], F.lit(":"), i["event_id"].cast("string"))), lambda x: x.isNotNull())
+    return x.select("user_id", F.when(F.size(names) > 0, F.array_join(names, ",")).alias("names"), F.size("items").cast("bigint").alias("n"))
 
 
 @query("""with c as (select l_orderkey, list(distinct trim(l_returnflag || l_linestatus || (l_suppkey % 9))) s from lineitem group by 1)
