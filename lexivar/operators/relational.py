@@ -71,6 +71,14 @@ def ordered_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], fiel
     return df.groupBy(*keys).agg(got.alias(name))
 
 
+def positions(df: DataFrame, order: Sequence[str], first: int = 0, last: int | None = None) -> DataFrame:
+    """The rows at the positions first to last (from 0, both included) in order; without bounds all rows, and nothing is sorted."""
+    if first <= 0 and last is None:
+        return df
+    x = df.orderBy(*order).offset(max(first, 0))
+    return x if last is None else x.limit(max(last - max(first, 0) + 1, 0))
+
+
 def new_rows(df: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a keyed, resumable append still has to write."""
     return df.join(written.select(*keys).distinct(), list(keys), "left_anti")

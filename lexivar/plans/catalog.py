@@ -243,12 +243,25 @@ def hints(spark, d):
 select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
 from x where l_orderkey between 10 and 500 and exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'O')""")
 def prompts(spark, d):
-    """Prompts of listed functions in a range, twenty ids at most."""
-    wanted = t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    x = t(spark, d, "lineitem").where("l_orderkey between 10 and 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("ids")).join(wanted, "l_orderkey", "left_semi")
+    """Prompts of listed functions whose key lies in its SQL's window; prompts_all takes every function. Twenty ids at most."""
+    return prompt_rows(t(spark, d, "lineitem").where("l_orderkey between 10 and 500"), t(spark, d, "orders"))
+
+
+def prompt_rows(lines: DataFrame, orders: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """Prompts of the listed functions among those that stand at the positions first to last (from 0, both included) in the order of keys; all by default."""
+    wanted = orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    x = R.positions(lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("ids")), ["l_orderkey"], first, last).join(wanted, "l_orderkey", "left_semi")
     return x.select("l_orderkey", A.render_prompt(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")), F.transform("ids", lambda v: v.cast("string"))).alias("prompt"))
 
 
+@query("""with x as (select l_orderkey, list(distinct l_linenumber) ids from lineitem group by 1)
+select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
+from x where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'O')""")
+def prompts_all(spark, d):
+    """Prompts of all listed functions; prompt_rows() takes a range of positions."""
+    return prompt_rows(t(spark, d, "lineitem"), t(spark, d, "orders"))
+
+
 @query("""with c as (select user_id, event_type, count(*) n, min(event_id) fst from events group by all), r as (select *, row_number() over (partition by user_id order by n desc, fst) k, sum(n) over (partition by user_id) s from c)
 select user_id, event_type as mode, round(n / s, 6) share from r where k = 1""")
 def mode_vote(spark, d):

@@ -9,3 +9,11 @@ def test_combine_rounds_takes_every_type(spark, tmp_path):
     out = {r["user_id"]: r for r in catalog.combine_rounds(spark, str(tmp_path)).collect()}
     assert out[7]["names"] == ",".join(f"t{i:03}:{i}" for i in range(150)) and out[7]["n"] == 151
     assert out[8]["n"] == 1 and out[8]["names"] is None
+
+
+def test_prompts_of_all_functions_or_a_range(spark):
+    lines = spark.createDataFrame([(k, n) for k in (3, 20, 400, 501, 9000) for n in (2, 1)], "l_orderkey long, l_linenumber int")
+    orders = spark.createDataFrame([(k, "F" if k == 400 else "O") for k in (3, 20, 400, 501, 9000)], "o_orderkey long, o_orderstatus string")
+    keys = lambda *a: sorted(r["l_orderkey"] for r in catalog.prompt_rows(lines, orders, *a).collect())
+    assert keys() == [3, 20, 501, 9000]
+    assert keys(0, 2) == [3, 20] and keys(1, 3) == [20, 501] and keys(4) == [9000] and keys(2, 1) == [] and keys(0, 999999) == keys()
