@@ -17,3 +17,9 @@ def test_prompts_of_all_functions_or_a_range(spark):
     keys = lambda *a: sorted(r["l_orderkey"] for r in catalog.prompt_rows(lines, orders, *a).collect())
     assert keys() == [3, 20, 501, 9000]
     assert keys(0, 2) == [3, 20] and keys(1, 3) == [20, 501] and keys(4) == [9000] and keys(2, 1) == [] and keys(0, 999999) == keys()
+
+
+def test_rare_names_are_not_absent(spark, tmp_path):
+    rows = [(10, 1, 0.1, 0.2)] * 1 + [(10, 2, 0.1, 0.2)] * 11 + [(11, k, 0.3, 0.4) for k in (1, 2, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["upper"]: r["n"] for r in catalog.freq_bins_all(spark, str(tmp_path)).collect()} == {0: 1, 10: 1, 100: 1, 1000: 0, 999999: 0}
