@@ -1,19 +1,17 @@
-"""Language-model scoring: stupid backoff over bigrams, computed relationally.
-
-S(w | p) = c(p, w) / c(p) where the bigram stands at least MIN_COUNT times in the whole corpus, else BACKOFF * c(w) / N; a document's first word
-gets c(w) / N. A document's score is the sum of the logarithms over its words; counts cover all documents.
-
-1. Unigram counts, summed within partitions before the shuffle, become a table. Words with at least N / FREQUENT occurrences number at
-   most FREQUENT whatever the corpus, so they, and the counts of pairs of the MOST frequent, are sent to every task.
-2. Each document's distinct bigrams go to partitions by hash: by their second word w, so that c(p, w) and c(w) meet; where w is
-   frequent, by the pair, as c(w) is known already; pairs of the most frequent words are scored on the spot. So no partition gets a hot word.
-   Rows are packed: one row holds all bigrams that a task has for a partition.
-3. In each partition the bigram counts are joined to the bigrams; sums go out per document, and the logarithm of c(p) is asked of the
-   unigram table (a join by hash) where p is not frequent.
-4. Sums per document.
-
-Words are lower-cased A-Z and named by 48 bits of a hash. Rows: null and empty texts have n_words 0, score 0 and a null mean. Rows that share an id,
-null included, are one document. Empty tables give an empty result.
+"""Language-model scoring: stupid backoff over n-grams of any order, computed relationally.
+
+S(w | context) = c(context, w) / c(context) where the n-gram stands at least min_count times in the whole corpus, else BACKOFF * S(w | the
+context without its first word); without context c(w) / N. A word's context is the order - 1 words before it, or as many as there are. A
+document's score is the sum of the logarithms over its words; counts cover all documents.
+
+1. Documents are gathered into chunks of about CHUNK words. A chunk's distinct n-grams of every order go with their counts to partitions by
+   hash. So a hot n-gram is one entry a chunk. Rows are packed: one row holds all that a chunk has for a partition; one more row holds its words.
+2. In each partition the counts are summed over the chunks and sent back, in the order in which they came.
+3. Each chunk makes its n-grams anew from its words, takes their counts and scores its documents.
+4. Sums per document; N is the number of all words.
+
+Words are lower-cased A-Z and n-grams named by 48 bits of a hash beside their partition. Rows: null and empty texts have n_words 0, score 0 and a
+null mean. Rows that share an id, null included, are one document. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,243 +28,165 @@ from .common import Scratch, table
 from .text import mix, pieces, words
 
 BACKOFF = 0.4
-MIN_COUNT = 2
-FREQUENT = 65_536
-MOST = 256
+ORDER = 3
+MIN_COUNT = 1
 BUCKET_BYTES = 4 << 20
-HELD = 500_000
+CHUNK = 750_000
 _U = np.uint64
-_MASK = _U((1 << 48) - 1)
 _NO_ID = -(1 << 63)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part, data, offsets in pieces(batches):
-        hashed, _, _, at = words(data, offsets)
-        yield part, hashed & _MASK, at
-
-
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned integers in as few bytes each as the largest needs; the first byte tells how many."""
+    """Unsigned integers in as few bytes each as the largest needs, first bytes first, so that planes of like bytes compress. Leads: that width, the length."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(x).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
 def _unpack(b: memoryview) -> np.ndarray:
-    width = b[0]
-    raw = np.frombuffer(b, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(pa.py_buffer(b[9:]), n * width, "zstd"), np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def _sum_runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
-    return keys[edge], np.add.reduceat(counts, edge) if len(edge) else counts
-
-
-def unigrams(rows: DataFrame) -> DataFrame:
-    """rows(id, text) -> (word, n)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "n"])
-
-        for _, h, _ in _tokens(batches):
-            k, n = np.unique(h, return_counts=True)
-            keys, counts = _sum_runs(np.r_[keys, k], np.r_[counts, n])
-            if len(keys) > HELD:
-                yield out()
-                keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-        yield out()
-
-    return rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _find(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each x in the sorted table, and whether it is there."""
-    if not len(table_):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table_, x), len(table_) - 1)
-    return at, table_[at] == x
-
-
-def most_pairs(rows: DataFrame, most: np.ndarray) -> np.ndarray:
-    """Counts of the pairs of the most frequent words, a square of at most MOST a side."""
-    size = max(1, len(most))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        for _, h, at in _tokens(batches):
-            i, ok = _find(most, h)
-            ok2 = ok[1:] & ok[:-1]
-            ok2[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(h))] - 1] = False
-            total += np.bincount(i[:-1][ok2] * size + i[1:][ok2], minlength=size * size)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
-
-    out = np.zeros(size * size, np.int64)
-    for r in rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out
+def _grams(h: np.ndarray, length: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of all orders by bucket and name, with bucket and count; for each n-gram that ends at a word, by order, its place among
+    them; and each word's place in its document."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
+    gram = mix(h)
+    every = [gram]
+    for k in range(1, order):
+        gram = mix(np.r_[_U(0), gram[:-1]][: len(h)] * _U(0x9E3779B97F4A7C15) + h)
+        every.append(gram[place >= k])
+    keys, which, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    bucket = (mix(keys) % _U(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    to = np.empty(len(by), np.int64)
+    to[by] = np.arange(len(by))
+    return keys[by], bucket[by], n[by], to[which], place
 
 
-class Frequent:
-    """What every task knows: the frequent words with their counts, and the most frequent pairs."""
-
-    def __init__(self, words_: np.ndarray, counts: np.ndarray, total: int) -> None:
-        order = np.argsort(words_)
-        self.words, self.counts, self.total = words_[order], counts[order], total
-        top = np.argsort(-counts[order], kind="stable")[:MOST]
-        self.most = np.sort(self.words[top])
-        self.pairs = np.zeros(0, np.int64)
-
-    def log_unigram(self, at: np.ndarray) -> np.ndarray:
-        return np.log(self.counts[at] / self.total)
-
-
-def _bigrams(rows: DataFrame, sent, buckets: int) -> DataFrame:
-    """rows(id, text) -> packed rows (bucket, docs, doc, prev, which, word, tf, base, n)."""
-    first = _MASK  # stands for "no word before"
+def _deal(rows: DataFrame, order: int, buckets: int) -> DataFrame:
+    """rows(id, text) -> packed rows (bucket, chunk, keys, n, base); base stands in one row of each chunk only."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Frequent = sent.value
-        names = ["bucket", "docs", "doc", "prev", "which", "word", "tf", "base", "n"]
-        kinds = [pa.int32(), *[pa.binary()] * 8]
         ids: list[np.ndarray] = []
-        base: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
+        chunk, size = TaskContext.get().partitionId() << 32, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(ids)
-            doc, p, w, n, b = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, b))
-            doc, p, w, n, b = doc[order], p[order], w[order], n[order], b[order]
-            edge = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])[: len(b)]
-            out = [(int(mix(every[:1].view(_U))[0] % _U(buckets)), every.tobytes(), b"", b"", b"", b"", b"", np.concatenate(base).tobytes(), np.concatenate(lengths).tobytes())]
-            for s, e in zip(edge, np.r_[edge[1:], len(b)]):
-                docs, d = np.unique(doc[s:e], return_inverse=True)
-                prev, which = np.unique(p[s:e], return_inverse=True)
-                out.append((int(b[s]), every[docs].tobytes(), _pack(d), _pack(prev), _pack(which), _pack(w[s:e]), _pack(n[s:e]), b"", b""))
+            h, length = np.concatenate(held), np.concatenate(lengths)
+            keys, bucket, n, _, _ = _grams(h, length, order, buckets)
+            vocabulary, which = np.unique(h, return_inverse=True)
+            base = b"".join(len(x).to_bytes(8, "little") + x for x in (np.concatenate(ids).tobytes(), length.tobytes(), vocabulary.tobytes(), _pack(which.astype(_U))))
+            out = [(chunk % buckets, chunk, b"", b"", base)]
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
+            for s, e in zip(edge, np.r_[edge[1:], len(bucket)]):
+                name = keys[s:e] >> _U(16)
+                out.append((int(bucket[s]), chunk, _pack(np.r_[name[:1], np.diff(name)]), _pack(n[s:e].astype(_U)), b""))
             for i in range(0, len(out), 64):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), kinds)], names)
-
-        size = 0
-        for part, h, at in _tokens(batches):
-            count = np.diff(at)
-            doc = np.repeat(np.arange(len(count)), count)
-            prev = np.r_[first, h[:-1]] if len(h) else h
-            prev[at[:-1][count > 0]] = first
-            code = mix(h * _U(0x9E3779B97F4A7C15) + prev)
-            order = np.lexsort((code, doc))
-            d, c = doc[order], code[order]
-            edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])[: len(d)]
-            tf = np.diff(np.r_[edge, len(d)])
-            d, p, w, c = d[edge], prev[order][edge], h[order][edge], c[edge]
-            wi, w_ok = _find(f.words, w)
-            pi, p_ok = _find(f.words, p)
-            here = np.zeros(len(d))
-            start = p == first
-            mi, m_ok = _find(f.most, w)
-            mj, n_ok = _find(f.most, p)
-            both = m_ok & n_ok
-            pair = f.pairs[mj[both] * max(1, len(f.most)) + mi[both]]
-            seen = np.log(np.maximum(pair, 1) / f.counts[pi[both]])
-            here[both] = np.where(pair >= MIN_COUNT, seen, np.log(BACKOFF) + f.log_unigram(wi[both]))
-            alone = start & w_ok
-            here[alone] = f.log_unigram(wi[alone])
-            local = both | alone
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), kinds)], ["bucket", "chunk", "keys", "n", "base"])
+
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+        for part, data, offsets in pieces(batches):
+            h, _, _, at = words(data, offsets)
             ids.append(part.column("id").to_numpy(zero_copy_only=False).astype(np.int64))
-            base.append(np.bincount(d, here * tf * local, minlength=len(count)))
-            lengths.append(count.astype(np.int64))
-            rest = ~local
-            to = np.where(w_ok, mix(c), mix(w)) % _U(buckets)
-            offset = sum(map(len, ids)) - len(count)
-            held.append((d[rest] + offset, p[rest], w[rest], tf[rest], to[rest].astype(np.int64)))
-            size += int(rest.sum())
-            if size > HELD:
+            lengths.append(np.diff(at).astype(np.int64))
+            held.append(h)
+            size += len(h)
+            if size > CHUNK:
                 yield from flush()
-                ids, base, lengths, held, size = [], [], [], [], 0
+                ids, lengths, held, size, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield from flush()
 
-    return rows.mapInArrow(deal, "bucket int, docs binary, doc binary, prev binary, which binary, word binary, tf binary, base binary, n binary")
+    return rows.mapInArrow(deal, "bucket int, chunk long, keys binary, n binary, base binary")
 
 
-def _partition_scores(sent):
-    first = _MASK
+def _count(group: pa.Table) -> pa.Table:
+    """Counts over all chunks, for each row in the order of its keys."""
+    bucket, chunk, base = (group.column(c) for c in ("bucket", "chunk", "base"))
+    keys, own = [], []
+    for k, n in zip(group.column("keys"), group.column("n")):
+        k, n = k.as_buffer(), n.as_buffer()
+        keys.append(np.cumsum(_unpack(memoryview(k)), dtype=_U) if len(k) else np.zeros(0, _U))
+        own.append(_unpack(memoryview(n)) if len(n) else np.zeros(0, _U))
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(which, np.concatenate(own)).astype(_U)[which] if len(which) else np.zeros(0, _U)
+    to = np.cumsum([len(k) for k in keys])
+    n = [_pack(total[e - len(k) : e]) if len(k) else b"" for k, e in zip(keys, to)]
+    return pa.table([chunk, bucket, pa.array(n, pa.binary()), base], ["chunk", "bucket", "n", "base"])
 
+
+def _score(order: int, min_count: int, buckets: int):
     def score(group: pa.Table) -> pa.Table:
-        f: Frequent = sent.value
-        doc, prev, word, tf, base = [], [], [], [], []
-        for r in zip(*(group.column(c) for c in ("docs", "doc", "prev", "which", "word", "tf", "base", "n"))):
-            docs, d, p, which, w, n, b, k = (x.as_buffer() for x in r)
-            docs = np.frombuffer(docs, np.int64)
-            if len(k):
-                base.append((docs, np.frombuffer(b, np.float64), np.frombuffer(k, np.int64)))
-                continue
-            doc.append(docs[_unpack(memoryview(d)).astype(np.int64)])
-            prev.append(_unpack(memoryview(p))[_unpack(memoryview(which)).astype(np.int64)])
-            word.append(_unpack(memoryview(w)))
-            tf.append(_unpack(memoryview(n)).astype(np.int64))
-        out_doc, out_word, out_s, out_n = ([x[0] for x in base], [np.zeros(len(x[0]), np.int64) - 1 for x in base], [x[1] for x in base], [x[2] for x in base])
-        if doc:
-            doc, prev, word, tf = (np.concatenate(x) for x in (doc, prev, word, tf))
-            _, inv = np.unique(mix(word * _U(0x9E3779B97F4A7C15) + prev), return_inverse=True)
-            pairs = np.bincount(inv, tf)[inv]
-            _, inv = np.unique(word, return_inverse=True)
-            own = np.bincount(inv, tf)[inv]
-            wi, w_ok = _find(f.words, word)
-            own = np.where(w_ok, f.counts[wi] if len(f.counts) else 0, own)
-            pi, p_ok = _find(f.words, prev)
-            start = prev == first
-            seen = (pairs >= MIN_COUNT) & ~start
-            value = np.where(seen, np.log(pairs), np.log(np.maximum(own, 1) / f.total) + np.where(start, 0.0, np.log(BACKOFF)))
-            if len(f.counts):
-                value -= np.where(seen & p_ok, np.log(f.counts[pi]), 0.0)
-            who, inv = np.unique(doc, return_inverse=True)
-            out_doc.append(who)
-            out_word.append(np.zeros(len(who), np.int64) - 1)
-            out_s.append(np.bincount(inv, value * tf))
-            out_n.append(np.zeros(len(who), np.int64))
-            ask = seen & ~p_ok
-            out_doc.append(doc[ask])
-            out_word.append(prev[ask].astype(np.int64))
-            out_s.append(tf[ask].astype(float))
-            out_n.append(np.zeros(int(ask.sum()), np.int64))
-        return pa.table([pa.array(np.concatenate(x)) for x in (out_doc, out_word, out_s, out_n)], ["id", "word", "s", "n"])
+        base, rows = b"", []
+        for b, n, x in zip(group.column("bucket").to_pylist(), group.column("n"), group.column("base")):
+            n = n.as_buffer()
+            if len(n):
+                rows.append((b, _unpack(memoryview(n))))
+            base = x.as_py() or base
+        parts, at = [], 0
+        for _ in range(4):
+            size = int.from_bytes(base[at : at + 8], "little")
+            parts.append(base[at + 8 : at + 8 + size])
+            at += 8 + size
+        ids, length, vocabulary = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int64), np.frombuffer(parts[2], _U)
+        h = vocabulary[_unpack(memoryview(parts[3])).astype(np.int64)] if len(vocabulary) else np.zeros(0, _U)
+        _, _, _, which, place = _grams(h, length, order, buckets)
+        counts = np.concatenate([n for _, n in sorted(rows, key=lambda r: r[0])]) if rows else np.zeros(0, _U)
+        every = counts[which].astype(np.int64)
+        before, alone = np.log(np.maximum(every[: len(h)], 1)), np.ones(len(h), bool)
+        value, used = before, len(h)
+        for k in range(1, order):
+            there = np.flatnonzero(place >= k)
+            c = every[used : used + len(there)]
+            used += len(there)
+            now = np.zeros(len(h))
+            now[there] = np.log(np.maximum(c, 1))
+            seen = c >= min_count
+            value = value.copy()
+            value[there] = np.where(seen, now[there] - before[there - 1], value[there] + np.log(BACKOFF))
+            alone[there[seen]] = False
+            before = now
+        doc = np.repeat(np.arange(len(ids)), length)
+        s, m = np.bincount(doc, value, minlength=len(ids)).astype(float), np.bincount(doc, alone, minlength=len(ids)).astype(np.int64)
+        return pa.table([pa.array(x) for x in (ids, length, s, m)], ["id", "n", "s", "alone"])
 
     return score
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, n_words, score, mean_score) of each document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """(id_col, n_words, score, mean_score) of each document, from n-grams of up to `order` words; those seen less than min_count times back off."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("binary").alias("text"))
-    counts = scratch.save(unigrams(rows), "unigrams")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    common = counts.where(F.col("n") >= F.lit(max(total, 1) / FREQUENT)).collect()  # at most FREQUENT rows
-    known = Frequent(np.array([r["word"] for r in common], np.int64).astype(_U), np.array([r["n"] for r in common], np.int64), max(total, 1))
-    known.pairs = most_pairs(rows, known.most)
-    sent = spark.sparkContext.broadcast(known)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
     buckets = max(8, -(-size // BUCKET_BYTES))
-    scored = _bigrams(rows, sent, buckets).groupBy("bucket").applyInArrow(_partition_scores(sent), "id long, word long, s double, n long")
+    counted = _deal(rows, order, buckets).groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, n binary, base binary")
+    scored = counted.groupBy("chunk").applyInArrow(_score(order, min_count, buckets), "id long, n long, s double, alone long")
     scored = scratch.save(scored, "scored")
-    asked = scored.where("word >= 0").groupBy("id", "word").agg(F.sum("s").alias("s"))
-    asked = asked.join(counts.withColumnRenamed("n", "c"), "word").select("id", (-F.col("s") * F.log("c")).alias("s"), F.lit(0).cast("long").alias("n"))
-    out = scored.where("word < 0").select("id", "s", "n").unionByName(asked).groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("score"))
+    total = scored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    score = F.sum("s") - F.sum("alone") * F.lit(float(np.log(max(total, 1))))
+    out = scored.groupBy("id").agg(F.sum("n").alias("n_words"), score.alias("score"))
     return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:
-    out = backoff_scores(table(spark, sf_dir, "documents"))
+    """Bigrams that stand twice at least, as its SQL has it; op6_lm_score_trigrams takes every n-gram."""
+    return _rounded(backoff_scores(table(spark, sf_dir, "documents"), order=2, min_count=2))
+
+
+def op6_lm_score_trigrams(spark, sf_dir: str) -> DataFrame:
+    """Trigrams, with every n-gram that stands at all."""
+    return _rounded(backoff_scores(table(spark, sf_dir, "documents"), order=3, min_count=1))
+
+
+def _rounded(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 3).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 
 
@@ -282,3 +203,18 @@ with t as (select doc_id, {_W} as w from documents),
 select t.doc_id, coalesce(count(s.s), 0) as n_words, round(coalesce(sum(s.s), 0), 3) as score, round(sum(s.s) / nullif(count(s.s), 0), 6) as mean_score
 from t left join s on s.doc_id = t.doc_id group by t.doc_id
 """
+#: The same for trigrams without a cutoff.
+OP6_TRIGRAMS_SQL = f"""
+with t as (select doc_id, {_W} as w from documents),
+     tok as (select doc_id, i, w[i] as word, case when i > 1 then w[i - 1] end as prev, case when i > 2 then w[i - 2] end as prev2 from t, unnest(range(1, len(w) + 1)) as r(i)),
+     u as (select word, count(*) as c from tok group by word),
+     b as (select prev, word, count(*) as c from tok where prev is not null group by all),
+     g as (select prev2, prev, word, count(*) as c from tok where prev2 is not null group by all),
+     n as (select count(*) as n from tok),
+     s as (select doc_id, case when g.c >= 1 then ln(g.c / pb.c) when b.c >= 1 then ln(b.c / p.c) + case when tok.prev2 is null then 0 else ln(0.4e0) end
+                               else ln(u.c / n) + case when tok.prev is null then 0 when tok.prev2 is null then ln(0.4e0) else 2 * ln(0.4e0) end end as s
+           from tok join u on u.word = tok.word left join u p on p.word = tok.prev left join b on b.prev = tok.prev and b.word = tok.word
+                left join b pb on pb.prev = tok.prev2 and pb.word = tok.prev left join g on g.prev2 = tok.prev2 and g.prev = tok.prev and g.word = tok.word, n)
+select t.doc_id, coalesce(count(s.s), 0) as n_words, round(coalesce(sum(s.s), 0), 3) as score, round(sum(s.s) / nullif(count(s.s), 0), 6) as mean_score
+from t left join s on s.doc_id = t.doc_id group by t.doc_id
+"""

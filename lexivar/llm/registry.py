@@ -6,7 +6,7 @@ from .ann import op7_nearest
 from .decontam import OP4_SQL, op4_decontaminate
 from .langid import op10_langid
 from .linededup import op3_line_dedup
-from .lmscore import OP6_SQL, op6_lm_score
+from .lmscore import OP6_SQL, OP6_TRIGRAMS_SQL, op6_lm_score, op6_lm_score_trigrams
 from .mixing import op1_entropy_mix
 from .neardup import op9_near_duplicates
 from .pii import op8_pii
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op4_decontaminate": op4_decontaminate,
         "op5_warc": op5_warc,
         "op6_lm_score": op6_lm_score,
+        "op6_lm_score_trigrams": op6_lm_score_trigrams,
         "op7_nearest": op7_nearest,
         "op8_pii": op8_pii,
         "op9_near_duplicates": op9_near_duplicates,
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op6_lm_score": OP6_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op6_lm_score": OP6_SQL, "op6_lm_score_trigrams": OP6_TRIGRAMS_SQL}
