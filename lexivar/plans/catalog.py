@@ -123,7 +123,7 @@ def split_train_test(spark, d):
 
 @query("""select a.doc_id test_id, b.doc_id train_id, cast(100 as integer) name_ratio from documents a join documents b on md5(a.text) = md5(b.text) where a.doc_id % 10 = 9 and b.doc_id % 10 <> 9""")
 def exact_overlap(spark, d):
-    """Test and training functions of equal signature."""
+    """Test and training functions of equal text; no signature of names (F25) and no body ratio."""
     docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("sig"))
     test, train = docs.where("doc_id % 10 = 9").withColumnRenamed("doc_id", "test_id"), docs.where("doc_id % 10 <> 9").withColumnRenamed("doc_id", "train_id")
     return test.join(train, "sig").select("test_id", "train_id", F.lit(100).alias("name_ratio"))
@@ -131,7 +131,7 @@ def exact_overlap(spark, d):
 
 @query()
 def fuzzy_name_overlap(spark, d):
-    """Pairs of distinct names with a matching-blocks ratio over 90 between two halves of `part`."""
+    """Pairs of distinct names with a matching-blocks ratio over 90 between two parts of `part`; not joined back to functions (J6), no union with exact pairs."""
     names = t(spark, d, "part").select("p_partkey", "p_name")
     return fuzzy_overlap(names.where("p_partkey % 10 = 9").select("p_name"), names.where("p_partkey % 10 <> 9").select("p_name"), "p_name")
 
