@@ -314,7 +314,7 @@ def preference(spark, d):
 tr as (select distinct unnest(f) w from x where page_id % 2 = 0)
 select page_id, exists (select 1 from tr where list_contains(f, w)) seen from x where page_id % 2 = 1""")
 def project_leak(spark, d):
-    """Whether a fragment of the project's name stands in training."""
+    """whether any fragment of the project's name stands in training; not the rule of J22 and A17."""
     x = t(spark, d, "pages").select("page_id", N.project_fragments(F.regexp_extract("url", "//([^/]*)", 1)).alias("f"))
     known = R.small(x.where("page_id % 2 = 0").select(F.explode("f").alias("w")).distinct().withColumn("hit", F.lit(True)))
     hit = x.where("page_id % 2 = 1").select("page_id", F.explode_outer("f").alias("w")).join(known, "w", "left")
@@ -339,7 +339,7 @@ def eligible_either(spark, d):
 
 @query("""select page_id, len(regexp_extract_all(html, '"([^"]*)"', 1)) n_strings, cast(length(html) - length(replace(html, '(', '')) as integer) n_calls, len(list_filter(regexp_extract_all(html, '"([^"]*)"', 1), lambda x: length(x) > 20)) > 1 enough from pages""")
 def context_heuristic(spark, d):
-    """Counts of string literals and calls decide whether local context suffices."""
+    """Part of P13: counts of string literals and calls; only the count of long strings decides whether local context suffices."""
     s = F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1))
     return t(spark, d, "pages").select("page_id", F.size(s).cast("bigint").alias("n_strings"), (F.length("html") - F.length(F.replace("html", F.lit("("), F.lit("")))).alias("n_calls"), (F.size(F.filter(s, lambda x: F.length(x) > 20)) > 1).alias("enough"))
 
