@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lexivar.llm import lmscore
+from lexivar.llm import linededup, lmscore
 from lexivar.plans import catalog
 
 
@@ -46,3 +46,9 @@ def test_lm_of_any_order_and_cutoff(spark, order, min_count):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in lmscore.backoff_scores(docs, order=order, min_count=min_count).collect()}
     assert got == pytest.approx(want)
+
+
+def test_short_lines_go_by_exact_equality(spark):
+    docs = spark.createDataFrame([(1, "Les.\n\nx"), (2, "Les.\n\n \nLes?"), (3, "y\nLes.\n ")], "doc_id long, text string")
+    out = {r["doc_id"]: r["clean_text"] for r in linededup.line_dedup(docs).collect()}
+    assert out == {1: "Les.\n\nx", 2: "\n \nLes?", 3: "y\n "}
