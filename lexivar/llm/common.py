@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="lexivar-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share; set here only where the session has none."""
+    """The folder that all machines of the cluster share. Only a session on one machine may leave it unset: then a folder is made there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = LOCAL_CHECKPOINTS
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_dir(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
@@ -49,6 +53,15 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{x}"), True)
 
 
+def unique_rows(scratch: Scratch, docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """docs with a long column `key` that no two rows share: the id itself where ids are whole numbers, unique and never null; else each row's
+    place in a copy that is written first, so that later reads agree on it."""
+    whole = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"] in ("bigint", "int", "smallint", "tinyint")
+    if whole and docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    return scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+
+
 def components(scratch: Scratch, links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """links(a, b), both long -> (id, comp): the least id reachable, for ids that have links.
 

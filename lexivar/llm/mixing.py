@@ -5,10 +5,14 @@ balancing picks those of least relative entropy to "every document once" under o
 source: the rates times the sizes add up to the source's target of words. The dual is convex in one
 multiplier a source, and the rates are min(cap, exp(multiplier * size / mean size)). Newton steps on the dual,
 kept inside a bracket, run as aggregations over the distinct (source, size) pairs, then rates are rounded to whole copies with the
-error carried from long to short documents in blocks of bounded size.
+error carried from long to short documents in blocks of about BLOCK documents.
+
+Rows of one source, id and size cannot be told apart in the result, so they are one entry with a multiplicity until the copies are set: an
+id, null included, that holds a third of all rows is a few entries, aggregated before any shuffle; its rows are dealt the entry's copies as evenly
+as whole numbers allow. Windows run over one row a source, after aggregation.
 
 Rows: a null text or one without words has size 0 and takes nothing. A null source is a source of its own, last in
-order. Rows that share an id are rounded each by itself. An empty table gives an empty result. Only the id,
+order. Rows that share an id are kept, each with its own copies. An empty table gives an empty result. Only the id,
 source and text columns are read, so other columns may have any name.
 """
 
@@ -25,6 +29,7 @@ from .common import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BLOCK = 256
+CHUNK = 1_000_000
 
 
 def word_count(text: str):
@@ -90,20 +95,28 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     dual = multipliers(scratch, hist, targets, cap)
     plan = targets.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "docs", "mean", "lam")
     rate = F.when((F.col("size") > 0) & (F.col("target") > 0), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))).otherwise(F.lit(0.0))
-    rated = sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", "source_size", "target", F.least(rate, F.lit(cap)).alias("rate"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK))).alias("block"))
-    # Within a block, from the longest document down: copies are the rate rounded down or up, whichever brings the running sum of words closer to that of rates.
+    entries = sizes.where("size > 0").groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("id", "size"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)))
+    rated = entries.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", "n", "source_size", "target", F.least(rate, F.lit(cap)).alias("rate"), block.alias("block"))
+    # Within a block, from the longest document down: an entry's copies are n times the rate rounded down or up, whichever brings the running sum of words closer to that of rates.
+    due = "(acc.due + r.rate * r.size * r.n)"
+    copies = f"cast(least(greatest(round(({due} - acc.got) / greatest(r.size, 1)), floor(r.rate * r.n + 1e-9)), least(ceil(r.rate * r.n - 1e-9), {cap}D * r.n)) as long)"
     fold = F.expr(
-        f"""aggregate(rows, named_struct('due', 0D, 'got', 0D, 'out', cast(array() as array<int>)), (acc, r) -> named_struct(
-              'due', acc.due + r.rate * r.size,
-              'got', acc.got + r.size * least(greatest(round((acc.due + r.rate * r.size - acc.got) / greatest(r.size, 1)), floor(r.rate + 1e-9)), least(ceil(r.rate - 1e-9), {cap}D)),
-              'out', concat(acc.out, array(cast(least(greatest(round((acc.due + r.rate * r.size - acc.got) / greatest(r.size, 1)), floor(r.rate + 1e-9)), least(ceil(r.rate - 1e-9), {cap}D)) as int)))), acc -> acc.out)"""
+        f"""aggregate(rows, named_struct('due', 0D, 'got', 0D, 'out', cast(array() as array<long>)), (acc, r) -> named_struct(
+              'due', {due}, 'got', acc.got + r.size * {copies}, 'out', concat(acc.out, array({copies}))), acc -> acc.out)"""
     )
-    blocks = rated.groupBy("source", "source_size", "target", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("down"), F.col("id"), F.col("size"), F.col("rate")))).alias("rows"))
+    blocks = rated.groupBy("source", "source_size", "target", "block").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("down"), F.col("id"), F.col("size"), F.col("n"), F.col("rate")))).alias("rows"))
     out = blocks.select("source", "source_size", "target", F.explode(F.arrays_zip("rows", fold.alias("copies"))).alias("x"))
-    return out.select(
-        F.col("x.rows.id").alias(id_col), "source", F.col("x.rows.size").alias("size"), "source_size", "target",
-        F.col("x.rows.rate").alias("rate"), F.col("x.copies").alias("copies"), (F.col("x.rows.size") * F.col("x.copies")).cast("long").alias("taken"),
-    )
+    out = out.select("source", "source_size", "target", "x.rows.id", "x.rows.size", "x.rows.rate", F.col("x.rows.n").alias("n"), F.col("x.copies").alias("all_copies"))
+    out = out.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    if not entries.where(F.col("n") > CHUNK).isEmpty():
+        out = out.repartition("id", "chunk")
+    out = out.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK))))
+    copies = (F.floor(F.col("all_copies") / F.col("n")) + F.when(F.col("i") <= F.col("all_copies") % F.col("n"), 1).otherwise(0)).cast("int")
+    out = out.withColumn("copies", copies)
+    out = out.select("id", "source", "size", "source_size", "target", "rate", "copies")
+    nothing = sizes.where("size = 0").join(plan, F.col("source").eqNullSafe(F.col("of"))).select("id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
+    return out.unionByName(nothing).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op1_entropy_mix(spark, sf_dir: str) -> DataFrame:

@@ -14,9 +14,12 @@ A bucket never emits all its pairs: sketches decide within the bucket which pair
 component are not looked at again, and of what lies near the threshold each member names only its likeliest partner. Confirmed
 links merge components. Buckets that still have pairs near the threshold between components then meet once more, with
 the full sets, in blocks of bounded size: each such pair is tested in the task, which returns only the links that join
-components. So no link between two components is lost, however large a bucket is, and rows grow with members, not with pairs.
+components; so do buckets in which a pair was trusted on its sketches and then failed on its sets. So no link between two components is lost,
+however large a bucket is, and rows grow with members, not with pairs.
 
-Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept. Repeated ids
+The last join, of rows with their groups, deals each group over SALTS keys, so that a group of copies that holds a third of all rows is not one task's.
+
+Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept, with a null component. Repeated ids
 with equal texts are one group whose rows all have doc_id = component_id. Empty tables give empty results.
 """
 
@@ -40,6 +43,7 @@ REGISTERS = 512
 BLOCK = 2048
 ITEMS = 1_000_000
 SIEVE_BITS = 1 << 25
+SALTS = 32
 _U = np.uint64
 
 
@@ -197,9 +201,9 @@ def _dealt(live: DataFrame, blocks) -> DataFrame:
 
 
 def _candidates(live: DataFrame, m: int, floor: float, least: float, sure: float) -> DataFrame:
-    """live(bucket, band, rep, size, total, comp, n, regs) -> (bucket, a, b): pairs of different components that may be links, by their joint likelihood.
+    """live(bucket, band, rep, size, total, comp, n, regs) -> (bucket, a, b, trusted): pairs of different components that may be links, by their joint likelihood.
 
-    Pairs far below the threshold are put aside here, on the sketches. A pair far above it joins its two components at once, so a group of close
+    Pairs far below the threshold are put aside here, on the sketches. A pair far above it joins its two components at once (trusted), so a group of close
     copies gives about as many pairs as it has members. Of the pairs in between, each member returns its likeliest of at least `least`; a bucket
     with more of them returns a row with a = b too.
     """
@@ -211,19 +215,19 @@ def _candidates(live: DataFrame, m: int, floor: float, least: float, sure: float
             for j in rest[likely >= sure]:
                 if g.label[j] != g.label[i]:
                     g.merge(i, j)
-                    out.append((g.ids[i], g.ids[j]))
+                    out.append((g.ids[i], g.ids[j], 1))
             between = np.flatnonzero((likely < sure) & (g.label[rest] != g.label[i]))
             if len(between):
                 best = between[likely[between].argmax()]
                 named = likely[best] >= least
                 if named:
-                    out.append((g.ids[i], g.ids[rest[best]]))
+                    out.append((g.ids[i], g.ids[rest[best]], 0))
                 more |= len(between) > named
         if more:
-            out.append((g.ids[0], g.ids[0]))
-        return pa.table([pa.array([g.bucket] * len(out), pa.int64()), *(pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1))], ["bucket", "a", "b"])
+            out.append((g.ids[0], g.ids[0], 0))
+        return pa.table([pa.array([g.bucket] * len(out), pa.int64()), *(pa.array([int(x[k]) for x in out], pa.int64()) for k in range(3))], ["bucket", "a", "b", "trusted"])
 
-    return _dealt(live, F.col("size") / BLOCK).groupBy("bucket", "i", "j").applyInArrow(pick, "bucket long, a long, b long")
+    return _dealt(live, F.col("size") / BLOCK).groupBy("bucket", "i", "j").applyInArrow(pick, "bucket long, a long, b long, trusted long")
 
 
 def _settled(live: DataFrame, m: int, floor: float, num: int, den: int) -> DataFrame:
@@ -288,8 +292,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = scratch.save(_confirm(pairs.join(sides[0], "a").join(sides[1], "b"), num, den), "links")
     scratch.drop("items")
     comp = components(scratch, links, "comp")
-    # Buckets with more pairs near the threshold: these are tested where they meet.
-    open_ = scratch.save(member.join(found.where("a = b").select("bucket").distinct(), "bucket"), "open")
+    # Buckets with more pairs near the threshold, or with a trusted pair that failed: these are tested where they meet.
+    failed = found.where("trusted = 1").join(links, ["a", "b"], "left_anti")
+    again = found.where("a = b").select("bucket").unionByName(failed.select("bucket")).distinct()
+    open_ = scratch.save(member.join(again, "bucket"), "open")
     if not open_.isEmpty():
         ids = scratch.save(open_.select(F.col("rep").alias("id")).distinct(), "open-ids")
         items = scratch.save(items_of(ids), "open-items")
@@ -303,9 +309,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # Back to documents: rows of equal sets share their representative, representatives their component.
     key = drawn.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     linked = key.join(comp.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or comp is not null").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = drawn.select("id", "n", "fp1", "fp2").join(linked, ["fp1", "fp2", "n"], "left")
-    comp_id = F.coalesce(F.when(F.col("n") > 0, F.col("comp")), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))
+    linked = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = drawn.where("n > 0 and id is not null").select("id", "n", "fp1", "fp2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = dealt.join(linked, ["fp1", "fp2", "n", "salt"], "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
+    out = out.unionByName(drawn.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
