@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever it is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Written tables of one operator call: they cut lineage, so a lost executor costs no earlier stage.
 

@@ -1,8 +1,8 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words (whole texts, no prefix). Each passage is described by counts of its bytes and words
-(letter case, symbols, digits, bars, sentence marks, word lengths, repeats within the passage and in the document so far), standardised, and
-encoded as h = tanh(W x). Gated attention tanh(V h) * sigmoid(U h) weighs the passages; the weighted mean of the h is scored by a
+A document is a bag of passages of PASSAGE words (whole texts, no prefix). Each passage is encoded from its words and its form: every word, lower-cased, is hashed to
+one of BUCKETS learned vectors, whose mean over the passage is added to a linear map of the passage's counts (letter case, symbols, digits, bars, sentence marks, word
+lengths, repeats within the passage and in the document so far, standardised), so h = tanh(mean E[word] + W x + b). Gated attention tanh(V h) * sigmoid(U h) weighs the passages; the weighted mean of the h is scored by a
 logistic unit. All parts are learned together from the documents' labels by Adam.
 
 Fitting uses at most MAX_TRAIN labelled documents, those of the least hash of their id, so that the driver holds a bounded amount;
@@ -26,6 +26,7 @@ from .text import pieces, words
 PASSAGE = 64
 MAX_TRAIN = 6000
 HIDDEN, GATES, EPOCHS, RATE = 16, 8, 24, 0.01
+BUCKETS, DECAY = 4096, 1e-4
 
 _CLASSES = {
     "upper": lambda b: (b >= 65) & (b <= 90),
@@ -50,14 +51,14 @@ def _repeats(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each passage and each document's first (one more at the end)."""
-    hashed, starts, ends, at = words(data, offsets, lower=False)
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each passage, the bucket of each word, each passage's first word and each document's first passage (one more at the end of the last two)."""
+    hashed, starts, ends, at = words(data, offsets)
     counts = np.diff(at)
     per = -(-counts // PASSAGE)
     to = np.r_[0, np.cumsum(per)]
     if not to[-1]:
-        return np.zeros((0, FEATURES), np.float32), to
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.uint16), np.zeros(1, np.int64), to
     doc = np.repeat(np.arange(len(counts)), per)
     a = at[:-1][doc] + (np.arange(to[-1]) - to[:-1][doc]) * PASSAGE
     b = np.minimum(a + PASSAGE, at[1:][doc])
@@ -74,7 +75,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for j, flag in enumerate((_repeats(word_part, hashed), _repeats(word_part, pair), _repeats(word_doc, pair), ends - starts == 1)):
         out[:, len(_TABLES) + j] = np.bincount(word_part, flag, minlength=len(a)) / n
     out[:, -1] = np.bincount(word_part, ends - starts, minlength=len(a)) / n / 10
-    return out, to
+    return out, ((hashed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.uint16), np.r_[a, len(hashed)], to
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -88,21 +89,25 @@ class Model:
         r = np.random.default_rng(seed)
         init = lambda *s: r.standard_normal(s) / np.sqrt(s[0])
         self.mean, self.scale = mean, scale
-        self.p = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, GATES), "U": init(HIDDEN, GATES), "w": init(GATES), "c": init(HIDDEN), "d": np.zeros(1)}
+        self.p = {"E": 0.1 * r.standard_normal((BUCKETS, HIDDEN)), "W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, GATES), "U": init(HIDDEN, GATES), "w": init(GATES), "c": init(HIDDEN), "d": np.zeros(1)}
 
-    def forward(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict]:
+    def forward(self, x: np.ndarray, word: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict]:
         p = self.p
         bag = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["b"])
+        own = np.empty((len(x), HIDDEN))
+        for i in range(0, len(x), 4096):  # in runs of passages that fit the cache
+            part = first[i : i + 4097]
+            own[i : i + 4096] = np.add.reduceat(p["E"][word[part[0] : part[-1]]], part[:-1] - part[0]) / np.diff(part)[:, None]
+        h = np.tanh(own + ((x - self.mean) / self.scale) @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         e = np.exp(np.clip((t * s) @ p["w"], -20, 20))
         alpha = e / np.bincount(bag, e, minlength=len(at) - 1)[bag]
         z = np.stack([np.bincount(bag, alpha * h[:, j], minlength=len(at) - 1) for j in range(HIDDEN)], 1)
         return _sigmoid(z @ p["c"] + p["d"]), {"bag": bag, "h": h, "t": t, "s": s, "alpha": alpha, "z": z}
 
-    def gradients(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, word: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        out, k = self.forward(x, at)
+        out, k = self.forward(x, word, first, at)
         bag, h, t, s, alpha, z = (k[n] for n in ("bag", "h", "t", "s", "alpha", "z"))
         dl = (out - y) / len(y)
         dz = np.outer(dl, p["c"])[bag]
@@ -110,22 +115,26 @@ class Model:
         de = alpha * (da - np.bincount(bag, alpha * da, minlength=len(y))[bag])
         dt, ds = np.outer(de, p["w"]) * s * (1 - t**2), np.outer(de, p["w"]) * t * s * (1 - s)
         dh = (alpha[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
-        return {"W": ((x - self.mean) / self.scale).T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ dl, "d": dl.sum(keepdims=True)}
+        counts = np.diff(first)
+        each = np.repeat(dh / counts[:, None], counts, axis=0)
+        dwords = np.stack([np.bincount(word, each[:, j], minlength=BUCKETS) for j in range(HIDDEN)], 1)
+        return {"E": dwords + DECAY * p["E"], "W": ((x - self.mean) / self.scale).T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ dl, "d": dl.sum(keepdims=True)}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model | None:
-    """Adam over shuffled batches of bags; the seed is fixed, so equal input gives an equal model."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> Model | None:
+    """Adam over shuffled batches of bags (counts, words, words a passage); the seed is fixed, so equal input gives an equal model."""
     if not bags:
         return None
-    every = np.concatenate(bags)
+    every = np.concatenate([b[0] for b in bags])
     model = Model(every.mean(0) if len(every) else np.zeros(FEATURES), every.std(0) + 1e-3 if len(every) else np.ones(FEATURES))
     r, m1, m2, step = np.random.default_rng(2), {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     for epoch in range(EPOCHS):
         order = r.permutation(len(bags))
         for i in range(0, len(order), 128):
             pick = order[i : i + 128]
-            at = np.r_[0, np.cumsum([len(bags[j]) for j in pick])]
-            g, step = model.gradients(np.concatenate([bags[j] for j in pick]), at, labels[pick]), step + 1
+            at = np.r_[0, np.cumsum([len(bags[j][0]) for j in pick])]
+            x, word, n = (np.concatenate([bags[j][k] for j in pick]) for k in range(3))
+            g, step = model.gradients(x, word, np.r_[0, np.cumsum(n, dtype=np.int64)], at, labels[pick]), step + 1
             for k in model.p:
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g[k], 0.999 * m2[k] + 0.001 * g[k] ** 2
                 model.p[k] = model.p[k] - RATE * (0.3 if epoch > EPOCHS * 0.7 else 1) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
@@ -138,13 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches):
-            x, at = passages(data, offsets)
-            yield pa.record_batch([part.column("id"), part.column("y"), pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "y", "x"])
+            x, word, first, at = passages(data, offsets)
+            ends = list(zip(at[:-1], at[1:]))
+            cut = [[x[a:b].tobytes() for a, b in ends], [word[first[a] : first[b]].tobytes() for a, b in ends], [np.diff(first[a : b + 1]).astype(np.uint8).tobytes() for a, b in ends]]
+            yield pa.record_batch([part.column("id"), part.column("y"), *(pa.array(c, pa.binary()) for c in cut)], ["id", "y", "x", "w", "n"])
 
     # At most max_docs rows of one id and one number: small enough to broadcast.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(y.withColumn("id", F.col("id").cast("long"))), "id")
-    found = sorted(rows.mapInArrow(describe, "id long, y double, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
-    return fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found], np.array([r["y"] for r in found]))
+    found = sorted(rows.mapInArrow(describe, "id long, y double, x binary, w binary, n binary").collect(), key=lambda r: (r["id"], bytes(r["x"]), bytes(r["w"])))
+    bags = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["w"], np.uint16), np.frombuffer(r["n"], np.uint8)) for r in found]
+    return fit(bags, np.array([r["y"] for r in found]))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:

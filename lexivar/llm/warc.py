@@ -3,10 +3,14 @@
 Writing: every record is one gzip member. Spark's own text writer puts the members into the shared store, so no
 file is opened by path. A member ends with its uncompressed length, lowest byte first, so its last byte is zero for
 records under 16 MiB; that byte serves as the writer's "line separator". After a larger record stands an empty member,
-which readers pass over. Files hold a bounded number of records.
+which readers pass over. Pages are written in classes of size, and the larger a class's pages, the fewer records its files hold, so that a file holds at
+most about FILE_BYTES of pages, or one page.
 
-Reading: each archive is inflated step by step with zlib, one member per record; the header block ends at an empty line,
-Content-Length frames the block, and block and payload digests are computed anew. A record that breaks off, whose
+Payloads meet the response they refer to by their digest, over SALTS keys: a payload that a third of all pages share is not one task's.
+
+Reading: each archive is read in order of its bytes and inflated step by step with zlib, one member per record; the header block ends at an empty line,
+Content-Length frames the block, and block and payload digests are computed anew. Spark's reader hands a task one compressed archive at a time, which
+FILE_BYTES bounds; inflated, one record is held at a time. A record that breaks off, whose
 member or framing is damaged, or whose digest differs is returned with `error` set and `verified` false.
 
 Rows: a null payload is written as an empty one, a null page id is written as an empty field and reads as null; it is
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, clear, table
 
+FILE_BYTES = 256 << 20
 FILE_RECORDS = 2000
+SALTS = 16
 STEP = 64 << 10
 
 
@@ -72,10 +78,13 @@ def pack_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> None:
     """One record per row. Among equal payloads of at least `least_bytes` the least id is the response, the others revisit it."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha1("body"))
-    # One small row for each payload that occurs more than once; the payloads themselves are dealt out once, salted against hot ones.
-    first = rows.where(F.length("body") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left").select("id", "url", "body", F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first")).alias("refers"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"))
+    rows = rows.withColumn("digest", F.sha1("body")).withColumn("class", _size_class("body"))
+    # One small row for each payload that occurs more than once.
+    first = rows.where(F.length("body") >= least_bytes).groupBy("digest", "class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1 and first is not null").select("digest", "first", "class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
+    refers = F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first")).alias("refers")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,8 +93,25 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
                 out = [pack_record(i.as_py(), u.as_py(), p.as_py(), r.as_py())[:-1] for i, u, p, r in zip(*(part.column(k) for k in range(4)))]
                 yield pa.record_batch([pa.array(out, pa.binary())], ["member"])
 
-    packed = rows.mapInArrow(pack, "member binary")
-    packed.select(F.col("member").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    clear(pages.sparkSession, path)
+    classes = sorted(r["class"] for r in rows.select("class").distinct().collect()) or [0]  # at most one for each power of SIZE_STEP
+    for c in classes:
+        # A payload's class follows from its bytes, so equal payloads are in the same one.
+        one = rows.where(F.col("class") == c).withColumn("salt", salt).join(first.where(F.col("class") == c).drop("class"), ["digest", "salt"], "left")
+        packed = one.select("id", "url", "body", refers).mapInArrow(pack, "member binary")
+        text = packed.select(F.col("member").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\0")
+        text.option("maxRecordsPerFile", max(1, FILE_RECORDS // SIZE_STEP**c)).text(f"{path}/size{c}")
+
+
+SMALL_PAGE, SIZE_STEP = FILE_BYTES // FILE_RECORDS, 8
+
+
+def _size_class(body: str):
+    """0 for pages of up to SMALL_PAGE bytes, one more for each further factor of SIZE_STEP, up to pages that fill a file alone."""
+    out, c = F.lit(0), 0
+    while FILE_RECORDS // SIZE_STEP**c > 1:
+        out, c = F.when(F.length(body) > SMALL_PAGE * SIZE_STEP**c, c + 1).otherwise(out), c + 1
+    return out
 
 
 def members(data: memoryview) -> Iterator[tuple[Iterator[bytes], int]]:

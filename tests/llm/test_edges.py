@@ -58,8 +58,9 @@ def test_gradients():
     r = np.random.default_rng(0)
     m = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
     x, at, y = r.standard_normal((7, quality.FEATURES)), np.array([0, 3, 3, 7]), np.array([1.0, 0.0, 1.0])
-    loss = lambda: -np.mean(y * np.log(m.forward(x, at)[0]) + (1 - y) * np.log(1 - m.forward(x, at)[0]))
-    for k, g in m.gradients(x, at, y).items():
+    bag = x, np.arange(21) % 9, np.arange(8) * 3, at
+    loss = lambda: -np.mean(y * np.log(m.forward(*bag)[0]) + (1 - y) * np.log(1 - m.forward(*bag)[0])) + quality.DECAY / 2 * (m.p["E"] ** 2).sum()
+    for k, g in m.gradients(*bag, y).items():
         i = tuple(0 for _ in g.shape)
         m.p[k][i] += 1e-5
         up = loss()
