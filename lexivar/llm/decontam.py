@@ -26,6 +26,7 @@ from .common import Scratch, table
 K = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,13 +51,18 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
     hashed = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.xxhash64(F.transform(F.slice("w", i, F.col("k")), lambda x: F.xxhash64(x))))
     bench = scratch.save(bench.select("item", "k", F.array_distinct(joined).alias("shingles"), F.array_distinct(hashed).alias("codes")), "items")
     sizes = [r["k"] for r in bench.select("k").distinct().collect()]  # at most k values
-    # Of each of the hash functions, the item's least shingle.
-    minima = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda j: F.array_min(F.transform("codes", lambda c: F.struct(F.xxhash64(c, j).alias("h"), c.alias("c"))))["c"]))
     need = F.ceil(F.size("shingles") * F.lit(threshold) - 1e-9)
-    probes = bench.select("item", "k", F.floor(F.log2(F.size("shingles"))).alias("part"), need.alias("need"), F.explode(minima).alias("code"))
-    least = probes.groupBy("part").agg(F.min("need").alias("least"))
-    probes = scratch.save(probes.join(least, "part").select("item", "k", "code", "least"), "probes")
-    small = probes.count() <= BROADCAST_ROWS
+    bench_ = bench.withColumn("part", F.floor(F.log2(F.size("shingles")))).withColumn("need", need)
+    # Whatever shingles a document lacks, it holds one of any (size - need + 1) of them.
+    sized = bench_.groupBy("part").agg(F.min("need").alias("least"), F.least(F.max(F.size("shingles") - F.col("need") + 1), F.lit(hashes)).cast("int").alias("minima"))
+    bench_ = bench_.join(sized, "part").withColumn("sure", F.size("shingles") - F.col("need") + 1 <= F.col("minima"))
+    least_codes = F.slice(F.transform(F.array_sort(F.transform("codes", lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))), lambda x: x["c"]), 1, F.col("minima"))
+    # Of each of the hash functions, the item's least shingle; or the least of one function, where so many are sure to meet.
+    minima = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("minima")), lambda j: F.array_min(F.transform("codes", lambda c: F.struct(F.xxhash64(c, j).alias("h"), c.alias("c"))))["c"]))
+    probes = bench_.select("item", "k", "least", F.explode(F.when(F.col("sure"), least_codes).otherwise(minima)).alias("code"))
+    probes = scratch.save(probes, "probes")
+    weight = bench.agg(F.coalesce(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a + F.length(x))), F.lit(0)).alias("n")).first()["n"]
+    small = weight <= BROADCAST_BYTES and probes.count() <= BROADCAST_ROWS
     found = None
     for size in sizes:
         side = probes.where(F.col("k") == size).select("item", "code", "least")

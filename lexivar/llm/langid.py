@@ -1,9 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 Training counts letter trigrams of every training text per language (a trigram packs into 63 bits exactly, so counts are
-exact). A language's profile holds the trigrams whose rate in it is at least `min_rate` and at least `share` of
-their highest rate in any language; at most 1 / min_rate trigrams can reach the first, which bounds what is sent
-to the driver. Profiles go into one bit-sliced Bloom filter: each slot holds one bit for each language, so the AND
+exact). A language's profile holds every trigram whose rate in it is at least `min_rate`, shared with other languages or not; at most 1 / min_rate
+trigrams can reach that, which bounds what is sent to the driver. Profiles go into one bit-sliced Bloom filter: each slot holds one bit for each language, so the AND
 of a trigram's k slots returns all languages that contain it (or seem to). A text's score for a language is the
 population count of its bit over the text's trigrams, corrected for the language's false-positive rate.
 
@@ -27,7 +26,6 @@ from .text import code_points, mix, pieces
 
 N = 3
 MIN_RATE = 2e-5
-SHARE = 0.5
 HASHES = 3
 UNKNOWN = "und"
 
@@ -123,14 +121,13 @@ class Filter:
         return np.clip((out - total * self.false) / (1 - self.false), 0, total)
 
 
-def train(rows: DataFrame, min_rate: float = MIN_RATE, share: float = SHARE) -> Filter:
-    """rows(lang, text), all of which are counted."""
+def train(rows: DataFrame, min_rate: float = MIN_RATE) -> Filter:
+    """rows(lang, text), all of which are counted; min_rate bounds a profile to 1 / min_rate trigrams."""
     scratch = Scratch(rows.sparkSession, "langid")
     counts = scratch.save(count_grams(rows.where("lang is not null")), "counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"), "total").where(F.col("rate") >= min_rate)
-    best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = rates.join(best, "gram").where(F.col("rate") >= share * F.col("best")).groupBy("lang").agg(F.max("total").alias("total"), F.sort_array(F.collect_list("gram")).alias("grams"))
+    kept = rates.groupBy("lang").agg(F.max("total").alias("total"), F.sort_array(F.collect_list("gram")).alias("grams"))
     found = sorted(kept.toLocalIterator(), key=lambda r: r["lang"])
     scratch.drop("counts")
     langs = [r["lang"] for r in found]
