@@ -11,22 +11,9 @@ from lexivar.functions import names as N
 from lexivar.operators import graph as G
 from lexivar.operators import relational as R
 from lexivar.operators.fuzzy import fuzzy_overlap
+from lexivar.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from lexivar.sources.tables import table as t
 
-ORACLE: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 _KEY = ["prog", "func", "var", "part"]
 
 
