@@ -113,3 +113,36 @@ def scored_names(spark, d: str) -> DataFrame:
     lines = F.array(*[F.struct(F.expr(name).alias("varname"), F.expr(value).alias("pred_name"), (F.col("k") * 6 + i).alias("line_no")) for i, (name, value) in enumerate(_LINES)])
     x = x.select(F.col("prog").alias("prog_name"), F.expr(placeholder("k")).alias("func_name"), F.explode(lines).alias("x"))
     return x.select("prog_name", "func_name", "x.*").where("pred_name is not null and varname is not null")
+
+
+#: Rounds of candidates: the name that round r gives to variable j, empty at times; in functions with even k all rounds that answer agree.
+ROUNDS = 3
+
+
+def candidate(j: int, r: int, k: str = "k") -> str:
+    return f"case when ({k} + {j} + {r}) % 5 = 0 then '<emptyname>' else {noun(f'{k} * 2 + {j} + {r} * ({k} % 2)')} end"
+
+
+def candidate_names(spark, d: str) -> DataFrame:
+    """(prog_name, func_name, varname, candidates): combined rounds of kept functions; a1 and a2 have names only where they are parameters."""
+    x = keys(spark, d).where(KEPT)
+    # A varying measure, so that candidates differ in precision.
+    of = lambda j: F.array(*[F.struct(F.lit(r).alias("round"), F.expr(candidate(j, r)).alias("pred_name"), F.expr(f"(k * 7 + {j} * 3 + {r} * 5) % 4 / 4D").alias("precision")) for r in range(ROUNDS)])
+    rows = F.filter(F.array(*[F.when(F.expr(f"k % 3 >= {j}") if j < 3 else F.lit(True), F.struct(F.lit(v).alias("varname"), of(j).alias("candidates"))) for j, v in VARS.items()]), lambda e: e.isNotNull())
+    return x.select(F.col("prog").alias("prog_name"), F.expr(placeholder("k")).alias("func_name"), F.explode(rows).alias("x")).select("prog_name", "func_name", "x.*")
+
+
+def default_names(spark, d: str) -> DataFrame:
+    x = keys(spark, d).where(KEPT)
+    rows = F.array(*[F.struct(F.lit(v).alias("varname"), F.expr(f"case when (k + {j}) % 2 = 0 then 'default{j}' end").alias("pred_name")) for j, v in VARS.items()])
+    return x.select(F.col("prog").alias("prog_name"), F.expr(placeholder("k")).alias("func_name"), F.explode(rows).alias("x")).select("prog_name", "func_name", "x.*").where("pred_name is not null")
+
+
+def name_vectors(spark, d: str) -> DataFrame:
+    """(name, embedding): each noun has the vector of its number."""
+    nouns = spark.createDataFrame(list(enumerate(_NOUNS)), "vec_id long, name string")
+    return table(spark, d, "embeddings").join(F.broadcast(nouns), "vec_id").select("name", "embedding")
+
+
+def name_vectors_sql() -> str:
+    return f"select {noun('vec_id')} name, embedding::double[] e from embeddings where vec_id < {len(_NOUNS)}"

@@ -9,10 +9,12 @@ from lexivar.functions import names as N
 from lexivar.operators import graph as G
 from lexivar.operators import hints as H
 from lexivar.operators import ingest as I
+from lexivar.operators import propagation as PG
 from lexivar.operators import relational as R
 from lexivar.parsing.facts import with_facts
 from lexivar.plans import programs as P
 from lexivar.plans.registry import query
+from lexivar.sources.scratch import Scratch
 
 
 def pairs_text(pairs: str | Column) -> Column:
@@ -104,5 +106,93 @@ asked as (select distinct prog from fun where coalesce({", ".join(P.predicted(j)
 from funcs left join ce on ce.f = funcs.f left join cs on cs.f = funcs.f where prog in (select prog from asked)""")
 def context_hints(spark, d):
     """For each function the renamed declarators of its callees and the renamed calls of itself, in order of first sight, as text."""
-    x = H.hints(parsed_functions(spark, d), P.scored_names(spark, d), call_edges(spark, d))
+    x = H.hints(Scratch(spark, "hints").save(parsed_functions(spark, d).drop("body", "ir"), "parsed"), P.scored_names(spark, d), call_edges(spark, d))
     return x.select("prog_name", "func_name", H.render_hints().alias("hints"))
+
+
+_IR = " union all ".join(
+    f"select prog, f, {at} at_, '{kind}' kind, {lhs} lhs, {rk} rhs_kind, {rhs} rhs, {callee} callee, {args} args from funcs where {cond}"
+    for at, kind, lhs, rk, rhs, callee, args, cond in (
+        (1, "call", "null", "null", "null", P.placeholder("n1"), "case k % 3 when 0 then '' when 1 then 'var:v2' else 'var:v2,var:a1' end", "n1 is not null"),
+        (2, "copy", "'v1'", "'implicit_return'", P.placeholder("n1"), "null", "null", "n1 is not null"),
+        (3, "copy", "'v2'", "'var'", "'v1'", "null", "null", "k % 2 = 0"),
+        (4, "call", "null", "null", "null", "'puts'", "'opaque:'", "true"),
+        (5, "call", "null", "null", "null", "'puts'", "'opaque:'", "k % 8 = 0"),
+        (6, "call", "null", "null", "null", P.placeholder("n2"), "'var:v2,opaque:'", "n2 is not null"),
+        (7, "call", "null", "null", "null", "'log_it'", "'var:v1,var:v2'", "true"),
+        (8, "call", "null", "null", "null", P.placeholder("n1"), "'var:v2'", "n1 is not null and k % 5 = 0"),
+        (9, "call", "null", "null", "null", P.placeholder("n1"), "'var:v2'", "n1 is not null and k % 5 = 0"),
+        (10, "return", "null", "case when n1 is not null and k % 5 = 0 then 'implicit_return' else 'var' end", f"case when n1 is not null and k % 5 = 0 then {P.placeholder('n1')} else 'v1' end", "null", "null", "true"),
+    )
+)
+
+
+@query(f"""with {INGEST}, ir as ({_IR}) select prog prog_name, {P.placeholder("f")} func_name, cast(row_number() over (partition by f order by at_) - 1 as integer) seq, kind, lhs, rhs_kind, rhs, callee, args from ir""")
+def code_ir(spark, d):
+    """Calls, copies and returns of parsed code, as rows; calls inside returns stand twice."""
+    x = parsed_functions(spark, d).select("prog_name", "func_name", F.explode("ir").alias("x"))
+    args = F.array_join(F.transform("x.args", lambda a: F.concat(a["kind"], F.lit(":"), F.coalesce(a["name"], F.lit("")))), ",")
+    return x.select("prog_name", "func_name", "x.seq", "x.kind", "x.lhs", "x.rhs_kind", "x.rhs", "x.callee", args.alias("args"))
+
+
+_V = P.VARS
+_NAMES = " union all ".join(
+    f"select prog, k, {j} j, {r} r, '{_V[j]}' v, {P.candidate(j, r)} name, (k * 7 + {j} * 3 + {r} * 5) % 4 / 4.0 prec from fun where {f'k % 3 >= {j}' if j < 3 else 'true'}" for j in _V for r in range(P.ROUNDS)
+)
+_ALSO = "{p}.f in (select f from funcs)"
+#: cand: candidates as rows; reach: sources that reach a variable, by rounds.
+PROPAGATED = f"""{INGEST}, ir as ({_IR}), cand as ({_NAMES}), src as (select distinct k, v from cand where name not like '%<empty%'),
+arg as (select prog, f, {P.placeholder("f")} fn, callee, unnest(string_split(args, ',')) a, unnest(range(len(string_split(args, ',')))) i, case when args = '' then 0 else len(string_split(args, ',')) end n from ir where kind = 'call'),
+pas as (select distinct a.prog, a.f, split_part(a.a, ':', 2) arg, g.f callee, ['a1', 'a2'][a.i + 1] param from arg a join funcs g on g.prog = a.prog and {P.placeholder("g.f")} = a.callee where a.n = g.f % 3 and a.a like 'var:%'),
+ret as (select f, rhs from ir where kind = 'return' and rhs_kind = 'var'),
+val as (select distinct i.prog, i.f, i.lhs, g.f callee, ret.rhs ret from ir i join funcs g on g.prog = i.prog and {P.placeholder("g.f")} = i.rhs join ret on ret.f = g.f where i.rhs_kind = 'implicit_return' and i.kind = 'copy'),
+cop as (select distinct prog, f, lhs, rhs from ir where kind = 'copy' and rhs_kind = 'var'),
+ed as (select prog, f df, arg dv, callee sf, param sv, 0 kind, false tr from pas union all select prog, f, lhs, callee, ret, 1, true from val union all select prog, callee, param, f, arg, 2, true from pas where f <> callee
+  union all select prog, callee, ret, f, lhs, 3, false from val where f <> callee union all select prog, f, lhs, f, rhs, 4, true from cop union all select prog, f, rhs, f, lhs, 5, false from cop),
+own as (select * from ed where df <> sf or dv <> sv), step as (select distinct df, dv, sf mf, sv mv from own where tr),
+r0 as (select prog, df, dv, sf, sv, min(kind) kind, 0 lvl from own join src on src.k = sf and src.v = sv group by prog, df, dv, sf, sv),
+r1 as (select prog, s.df, s.dv, r.sf, r.sv, min(kind) kind, 1 lvl from step s join r0 r on r.df = s.mf and r.dv = s.mv where (s.df <> r.sf or s.dv <> r.sv) and (s.df, s.dv, r.sf, r.sv) not in (select (df, dv, sf, sv) from r0) group by prog, s.df, s.dv, r.sf, r.sv),
+r2 as (select prog, s.df, s.dv, r.sf, r.sv, min(kind) kind, 2 lvl from step s join r1 r on r.df = s.mf and r.dv = s.mv where (s.df <> r.sf or s.dv <> r.sv) and (s.df, s.dv, r.sf, r.sv) not in (select (df, dv, sf, sv) from r0)
+  and (s.df, s.dv, r.sf, r.sv) not in (select (df, dv, sf, sv) from r1) group by prog, s.df, s.dv, r.sf, r.sv),
+reach as (select * from r0 union all select * from r1 union all select * from r2)"""
+
+
+def reached(spark, d):
+    """What reaches each variable; code is parsed once, and each round is written."""
+    scratch = Scratch(spark, "propagation")
+    parsed = scratch.save(parsed_functions(spark, d).select("prog_name", "func_name", "params", "ir"), "parsed")
+    edges = scratch.save(PG.edges(parsed, call_edges(spark, d)), "edges")
+    return PG.propagate(edges, PG.named(P.candidate_names(spark, d)), save=scratch.save)
+
+
+@query(f"""with {PROPAGATED} select prog prog_name, {P.placeholder("df")} dst_func, dv dst_var, {P.placeholder("sf")} src_func, sv src_var, cast(kind as integer) kind, cast(lvl as integer) as level from reach""")
+def propagate_names(spark, d):
+    """Sources whose names reach a variable along arguments, returns and copies of parsed code in three rounds."""
+    return reached(spark, d)
+
+
+@query(f"""with {PROPAGATED} select case kind when 0 then 'callee args' when 1 then 'callee return' when 2 then 'caller args' when 3 then 'caller return' else 'direct use' end reason, count(*) n from reach group by 1""")
+def propagation_reasons(spark, d):
+    """How many names came by each kind of edge."""
+    return PG.reason_counts(reached(spark, d))
+
+
+@query(f"""with {INGEST}, cand as ({_NAMES}) select prog prog_name, {P.placeholder("k")} func_name, v varname, arg_max(name, struct_pack(p := prec, r := -r)) pred_name, max(prec) "precision" from cand group by prog, k, v""")
+def best_candidate(spark, d):
+    """The candidate of the greatest precision, the first of equals, empty ones included."""
+    return PG.upper_bound(P.candidate_names(spark, d)).select("prog_name", "func_name", "varname", "chosen.pred_name", "chosen.precision")
+
+
+@query(f"""with {PROPAGATED}, full_ as (select * from cand where name not like '%<empty%'), cnt as (select k, v, name, count(*) n, min(r) r from full_ group by all), mode as (select k, v, arg_max(name, struct_pack(n := n, r := -r)) name from cnt group by k, v),
+nd as (select k, v, count(distinct name) nd from full_ group by all), hit as (select df k, dv v, m.name from reach join mode m on m.k = sf and m.v = sv),
+vote as (select * from nd where nd > 1 and (k, v) in (select (k, v) from hit)), vec as ({P.name_vectors_sql()}),
+bag as (select k, v, name from hit union all select k, v, name from full_), sim as (select t.k, t.v, c.name, avg(list_cosine_similarity(x.e, y.e)) s from vote t join (select distinct k, v, name from full_) c using (k, v) join vec x on x.name = c.name
+  join bag b on b.k = t.k and b.v = t.v join vec y on y.name = b.name group by all), won as (select k, v, name, row_number() over (partition by k, v order by round(s, 9) desc, name) r from sim),
+def as (select k, j, case when (k + j) % 2 = 0 then 'default' || j end name from cand group by k, j), vars as (select distinct prog, k, j, v from cand),
+out_ as (select prog, vars.k, vars.v, case when won.name is not null then won.name when nd.nd = 1 then lone.name else def.name end name, case when won.name is not null then 'vote' when nd.nd = 1 then 'only' else 'default' end how
+  from vars left join nd on nd.k = vars.k and nd.v = vars.v left join won on won.k = vars.k and won.v = vars.v and won.r = 1 left join def on def.k = vars.k and def.j = vars.j left join (select k, v, min(name) name from full_ group by all) lone on lone.k = vars.k and lone.v = vars.v)
+select prog prog_name, {P.placeholder("k")} func_name, v varname, name pred_name, how from out_ where name is not null""")
+def choose_names(spark, d):
+    """A name for each variable: the only candidate, the default, or a vote of propagated modes and candidates by their vectors."""
+    names = Scratch(spark, "candidates").save(P.candidate_names(spark, d), "names")
+    return PG.choose(names, reached(spark, d), P.default_names(spark, d), P.name_vectors(spark, d))
