@@ -155,3 +155,79 @@ def cosine(a, b) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     a, b = col(a), col(b)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def rename_plain(code, old, new) -> Column:
+    """rename() with @ as a delimiter too."""
+    pattern = F.concat(F.lit("([^a-zA-Z0-9_]|^)("), col(old), F.lit(")([^a-zA-Z0-9_])"))
+    return F.regexp_replace(col(code), pattern, F.concat(F.lit("$1"), _quoted(col(new)), F.lit("$3")))
+
+
+# What a demangled function or operator looks like; the second group is its bare name.
+DEMANGLED_FUNCTION = r"^.*([^0-9A-Za-z_~]|^)([~0-9a-zA-Z_]+)(<.*>)?(\[abi.*\])?\(.*\)"
+DEMANGLED_OPERATOR = r"^.*([^0-9A-Za-z_~]|^)(operator ?[^0-9a-zA-Z_]+|new|new\[\]|delete|delete\[\])(<.*>)?(\[abi.*\])?\(.*\)"
+
+
+def bare_name(text, otherwise) -> Column:
+    """The bare name in a demangled signature; `otherwise` where there is none."""
+    t = col(text)
+    found = F.when(t.rlike(DEMANGLED_FUNCTION), F.regexp_extract(t, DEMANGLED_FUNCTION, 2)).when(t.rlike(DEMANGLED_OPERATOR), F.regexp_extract(t, DEMANGLED_OPERATOR, 2))
+    return F.coalesce(found, otherwise)
+
+
+def demangled(name) -> Column:
+    """The bare name of a mangled C++ name whose parts are spelt out: _Z, then nested or single names with their lengths. A suffix _0 to _3 is dropped first where the
+    name is mangled. Names that are not mangled, and forms beyond that (templates, operators, substitutions), stay as they are."""
+    n = col(name)
+    short = F.regexp_replace(n, r"_[0-3]$", "")
+    rest = F.regexp_replace(short, r"^_ZN?K?", "")
+    # Takes one length and name after the other; the state is (what is left, the last name, whether a form was met that is not covered).
+    state = F.struct(rest.alias("left"), F.lit("").alias("last"))
+
+    def part(s: Column, _: Column) -> Column:
+        size = F.regexp_extract(s["left"], r"^([0-9]{1,3})", 1)
+        n_ = F.when(size == "", 0).otherwise(size.cast("int"))
+        taken = F.substring(s["left"], F.length(size) + 1, n_)
+        return F.when((size != "") & (F.length(taken) == n_), F.struct(F.substring(s["left"], F.length(size) + 1 + n_, F.length(s["left"])).alias("left"), taken.alias("last"))).otherwise(s)
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(12)), state, part)
+    nested = n.startswith("_ZN")
+    covered = n.startswith("_Z") & (last["last"] != "") & F.when(nested, last["left"].rlike("^E")).otherwise(~last["left"].rlike("^(I|[0-9])"))
+    return F.when(covered, last["last"]).otherwise(n)
+
+
+def lemmatised(tokens, lexicon) -> Column:
+    """Tokens with the words of lexicon, a map column of word to lemma, replaced; others stay."""
+    return F.transform(col(tokens), lambda t: F.coalesce(F.try_element_at(col(lexicon), t), t))
+
+
+def pieces(tokens, known) -> Column:
+    """Each token cut into the longest known pieces from its left, character by character where none fits; `known` is an array column of pieces of at most 16 characters."""
+    k = col(known)
+
+    def cut(token: Column) -> Column:
+        start = F.struct(token.alias("left"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            sizes = F.filter(F.sequence(F.least(F.length(s["left"]), F.lit(16)), F.lit(1)), lambda n: F.array_contains(k, F.substring(s["left"], F.lit(1), n)))
+            n = F.coalesce(F.try_element_at(sizes, F.lit(1)), F.lit(1))
+            return F.when(F.length(s["left"]) == 0, s).otherwise(F.struct(F.substring(s["left"], n + 1, F.length(s["left"])).alias("left"), F.concat(s["out"], F.array(F.substring(s["left"], F.lit(1), n))).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), start, step)["out"]
+
+    return F.flatten(F.transform(col(tokens), cut))
+
+
+def same_cluster(clusters) -> callable:
+    """A comparison that also takes words that share a cluster; `clusters` is a map column of word to cluster ids."""
+    c = col(clusters)
+    return lambda gt, pred: same_token(gt, pred) | F.coalesce(F.arrays_overlap(F.try_element_at(c, gt), F.try_element_at(c, pred)), F.lit(False))
+
+
+#: Vocabulary entries in which a quote meets a letter or digit, or a colon a blank, so that texts cannot be cut at quotes.
+QUOTE_PATTERNS = (r"'[0-9a-zA-Z]", r"[0-9a-zA-Z]'", ":{}")
+
+
+def awkward_entry(token, blank: str = " ") -> Column:
+    t = col(token)
+    return t.rlike(QUOTE_PATTERNS[0]) | t.rlike(QUOTE_PATTERNS[1]) | F.contains(t, F.lit(QUOTE_PATTERNS[2].format(blank)))

@@ -241,7 +241,7 @@ def hints(spark, d):
 
 
 @query("""with x as (select l_orderkey, list(distinct l_linenumber) ids from lineitem group by 1), y as (select *, row_number() over (order by l_orderkey) - 1 i from x)
-select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
+select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
 from x where l_orderkey between 10 and 500 and exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'O')""")
 def prompts(spark, d):
     """Prompts of listed functions whose key lies in its SQL's window; prompts_all takes every function. Twenty ids at most."""
@@ -256,7 +256,7 @@ def prompt_rows(lines: DataFrame, orders: DataFrame, first: int = 0, last: int |
 
 
 @query("""with x as (select l_orderkey, list(distinct l_linenumber) ids from lineitem group by 1)
-select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
+select l_orderkey, chr(10) || 'order ' || l_orderkey || chr(10) || chr(10) || chr(10) || chr(10) || 'Q:[' || array_to_string(list_transform(list_sort(ids)[1:20], lambda v: cast(v as varchar)), ',') || ',]A' prompt
 from x where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'O')""")
 def prompts_all(spark, d):
     """Prompts of all listed functions; prompt_rows() takes a range of positions."""

@@ -146,3 +146,74 @@ def name_vectors(spark, d: str) -> DataFrame:
 
 def name_vectors_sql() -> str:
     return f"select {noun('vec_id')} name, embedding::double[] e from embeddings where vec_id < {len(_NOUNS)}"
+
+
+def said(j: int, pos: int | str, k: str = "k") -> str:
+    """What answer pos says for variable j."""
+    return f"({noun(f'{k} * 5 + {j} + {pos}')}) || case ({k} + {j} * {pos}) % 3 when 0 then '_in' else '' end"
+
+
+def said_own(pos: int | str, k: str = "k") -> str:
+    return f"({verb(f'{k} + {pos}')}) || '_' || ({noun(f'{k} + {pos}')})"
+
+
+ANSWERS = 3
+PROB = "(k * 3 + {pos} * 7) % 5 / 10.0"
+
+
+def answer_text(pos: int | str) -> str:
+    """An answer as text, in eight shapes: a map as it is, behind a colon, in prose, none at all, cut off at its end, cut off at its start, empty, and two maps."""
+    a, b, c = said(1, pos), said(3, pos), said_own(pos)
+    first, rest = f"'{{''a1'': ''' || ({a}) || ''''", f"', ''v1'': ''' || ({b}) || ''''"
+    own = f"', ''' || {placeholder('k')} || ''': ''' || ({c}) || ''''"
+    whole = f"{first} || {rest} || {own} || '}}'"
+    shapes = [
+        whole, f"':' || {whole}", f"'sure: ' || {whole} || ' done'", "'garbage ' || k", f"'x ' || {first} || {rest} || ', ''v2'': ''cut'",
+        f"'q'', ''a1'': ''' || ({a}) || ''''|| {rest} || '}}'", "''", f"{first} || '}} ' || '{{''v1'': ''' || ({b}) || '''}}'",
+    ]
+    return f"case (k + {pos}) % 8 " + " ".join(f"when {i} then {x}" for i, x in enumerate(shapes)) + " end"
+
+
+def model_answers(spark, d: str) -> DataFrame:
+    """(prog_name, func_name, answers): raw answers of kept functions, with differing probabilities."""
+    x = keys(spark, d).where(KEPT)
+    answers = F.expr(f"transform(sequence(0, {ANSWERS - 1}), pos -> named_struct('pos', pos, 'raw', {answer_text('pos')}, 'prob', cast({PROB.format(pos='pos')} as double)))")
+    return x.select(F.col("prog").alias("prog_name"), F.expr(placeholder("k")).alias("func_name"), answers.alias("answers"))
+
+
+#: What the answers say once parsed and mended: rows (prog, f, pos, prob, id, name) over fun.
+ANSWER_ROWS = " union all ".join(
+    f"select prog, f, {p} pos, {PROB.format(pos=p)} prob, {i} id, {n} name from fun where (k + {p}) % 8 in ({s})"
+    for p in range(ANSWERS)
+    for i, n, s in (("'a1'", said(1, p), "0, 1, 2, 4, 5"), ("'v1'", said(3, p), "0, 1, 2, 4, 5, 7"), (placeholder("f"), said_own(p), "0, 1, 2"))
+)
+
+
+def judge_response(spark, d: str, side: int) -> DataFrame:
+    """(prog_name, func_name, line_no, response): a judge's answers on variables of kept functions, one block each; a name without a score and a broken block at times."""
+    x = keys(spark, d).where(KEPT).where(f"k % {3 + side} <> 0")
+    block = lambda j: f"'```json' || {NL} || {judge_block(j, side)} || {NL} || '```' || {NL}"
+    text = " || ".join(f"coalesce({block(j)}, '')" for j in (3, 4))
+    return x.select(F.col("prog").alias("prog_name"), F.expr(placeholder("k")).alias("func_name"), F.col("k").alias("line_no"), F.expr(f"'Summary. ' || {text}").alias("response"))
+
+
+def judge_scores(j: int, side: int, k: str = "k") -> tuple[str, str]:
+    return f"(1 + ({k} + {j} * 2 + {side}) % 5)", f"(1 + ({k} * 2 + {j} + {side}) % 5)"
+
+
+def judge_block(j: int, side: int) -> str:
+    qa, qb = judge_scores(j, side)
+    full = f"'{{''var'': ''' || ({truth_var(j)}) || ''', ''prediction'': ''p{side}'', ''score'': {{''Q-A'': ' || {qa} || ', ''Q-B'': ' || {qb} || '}}}}'"
+    return f"case when (k + {j}) % 10 = 3 then '{{''var'': ''' || ({truth_var(j)}) || '''}}' when (k + {j}) % 10 = 4 then '{{broken' when (k + {j}) % 10 = 5 then '{{''note'': 1}}' else {full} end"
+
+
+def judge_list(spark, d: str) -> DataFrame:
+    """Names to judge in two layouts: some rows give the program under one pair of columns, some under the other."""
+    x = keys(spark, d).where("k % 4 = 1 or k % 6 = 2")
+    prefix, name, other = F.expr("split_part(prog, '_', 1)"), F.expr(placeholder("k")), F.lit("?")
+    mine = F.expr("k % 4 = 1")
+    x = x.select(
+        F.when(mine, prefix).otherwise(other).alias("prog_name"), F.when(mine, name).otherwise(other).alias("func_name"), F.when(mine, other).otherwise(prefix).alias("binary"),
+        F.when(mine, other).otherwise(name).alias("funcname"), F.explode(F.array(*map(F.lit, VARS.values()))).alias("ori_name"),
+    )
+    return x

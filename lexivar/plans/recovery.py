@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexivar.functions import answers as A
 from lexivar.functions import names as N
 from lexivar.operators import graph as G
 from lexivar.operators import hints as H
 from lexivar.operators import ingest as I
+from lexivar.operators import judge as J
+from lexivar.operators import preference as PR
 from lexivar.operators import propagation as PG
 from lexivar.operators import relational as R
+from lexivar.operators import scoring as SC
 from lexivar.parsing.facts import with_facts
 from lexivar.plans import programs as P
 from lexivar.plans.registry import query
@@ -196,3 +200,161 @@ def choose_names(spark, d):
     """A name for each variable: the only candidate, the default, or a vote of propagated modes and candidates by their vectors."""
     names = Scratch(spark, "candidates").save(P.candidate_names(spark, d), "names")
     return PG.choose(names, reached(spark, d), P.default_names(spark, d), P.name_vectors(spark, d))
+
+
+def answered(spark, d):
+    """Functions with a name to recover, and the raw answers for them."""
+    return I.functions_of(P.raw_functions(spark, d)).drop("func_seq").join(P.model_answers(spark, d), ["prog_name", "func_name"])
+
+
+@query(f"""with {INGEST}, s as (select (k + p) % 8 s from funcs, (values (0), (1), (2)) x(p)) select count(*) total, cast(count(*) filter (s in (3, 4, 5, 6)) as bigint) error, cast(count(*) filter (s in (4, 5)) as bigint) fixed,
+round(count(*) filter (s in (3, 4, 5, 6)) / count(*), 6) error_ratio, round(count(*) filter (s in (4, 5)) / count(*) filter (s in (3, 4, 5, 6)), 6) fixed_ratio from s""")
+def answer_errors(spark, d):
+    """Broken and mended answers of eight shapes, counted in one aggregate."""
+    x = SC.answer_counts(SC.parsed_answers(answered(spark, d)))
+    return x.select("total", "error", "fixed", F.round("error_ratio", 6).alias("error_ratio"), F.round("fixed_ratio", 6).alias("fixed_ratio"))
+
+
+_TOK = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_SAME = "(x = y or (least(length(x), length(y)) >= 2 and case when length(x) <= length(y) then starts_with(y, x) or suffix(y, x) else starts_with(x, y) or suffix(x, y) end))"
+
+
+def sql_score(a: str, b: str, gt: str, pred: str) -> str:
+    """The share of tokens of `a` that match one of `b`; 1 for equal names."""
+    t, u = _TOK.format(a), _TOK.format(b)
+    return f"case when lower({gt}) = lower({pred}) then 1 when len({_TOK.format(gt)}) = 0 or len({_TOK.format(pred)}) = 0 then 0 else len(list_distinct(list_filter({t}, lambda x: len(list_filter({u}, lambda y: {_SAME})) > 0))) / len({t}) end"
+
+
+#: truth: names that are worth a score; said_: what the answers say for them.
+SCORED = f"""{INGEST}, truth as (select prog, f, k id, v gt from var_ids union all select prog, f, k, v from func_ids), ans as ({P.ANSWER_ROWS}),
+good as (select * from truth where f in (select f from funcs) and not (trim(gt) = '' or regexp_matches(gt, '^(v[0-9]+|a[0-9]+|[_0-9]+)\\b') or gt in ('i', 'j', 'k', 'ret')) and gt <> id),
+said_ as (select g.*, a.pos, a.prob, a.name from good g join ans a on a.f = g.f and a.id = g.id),
+marked as (select *, {sql_score("name", "gt", "gt", "name")} p, {sql_score("gt", "name", "gt", "name")} r from said_)"""
+
+
+@query(f"""with {SCORED}, one as (select *, row_number() over (partition by f, id order by pos) rn from marked)
+select prog prog_name, {P.placeholder("f")} func_name, id varname, gt gt_varname, name pred_name, round(p, 6) "precision", round(r, 6) recall from one where rn = 1""")
+def score_answers(spark, d):
+    """Names of parsed and mended answers that have a truth, scored; the first answer of each counts."""
+    x = SC.scored_names(answered(spark, d))
+    return x.select("prog_name", "func_name", "varname", "gt_varname", "pred_name", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""with {SCORED}, o as (select *, row_number() over (partition by f, id order by prob desc, pos) rn from marked), a as (select * from o where rn = 1), b as (select * from o where rn = 2), c as (select * from o where rn = 3),
+ab as (select a.prog, a.f, a.id, a.gt, case when b.p >= a.p and b.r >= a.r then b.name else a.name end name, case when b.p >= a.p and b.r >= a.r then b.p else a.p end p, case when b.p >= a.p and b.r >= a.r then b.r else a.r end r from a left join b using (f, id))
+select ab.prog prog_name, {P.placeholder("ab.f")} func_name, id varname, ab.gt gt_varname, case when c.p >= ab.p and c.r >= ab.r then c.name else ab.name end pred_name,
+round(case when c.p >= ab.p and c.r >= ab.r then c.p else ab.p end, 6) "precision", round(case when c.p >= ab.p and c.r >= ab.r then c.r else ab.r end, 6) recall from ab left join c using (f, id)""")
+def score_best_answers(spark, d):
+    """Of the three likeliest answers the last that is no worse in precision and recall than the best before it."""
+    x = SC.scored_names(answered(spark, d), best=True)
+    return x.select("prog_name", "func_name", "varname", "gt_varname", "pred_name", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""with {INGEST}, t as (select prog, f, id, name from ({P.ANSWER_ROWS}) where pos = 0 and (f + 0) % 8 in (0, 1, 2)) select name, count(*) n from t where id not like 'sub_%' group by name""")
+def train_name_counts(spark, d):
+    """Frequencies of names in training answers, two characters before each map; ids of functions do not count."""
+    x = P.model_answers(spark, d).select(F.concat(F.lit(": "), F.regexp_extract(F.element_at("answers", 1)["raw"], r"(\{.*\})", 1).alias("m")).alias("response"), F.expr("conv(substring(func_name, 5), 16, 10) % 8").alias("s"))
+    return SC.train_names(x.where("s in (0, 1, 2)"))
+
+
+def preference_entries(spark, d):
+    """Functions with the maps of those answers that parse."""
+    x = answered(spark, d)
+    maps = SC.parsed_answers(x).where("answer is not null").groupBy("prog_name", "func_name").agg(F.sort_array(F.collect_list(F.struct("pos", F.map_entries("answer").alias("e")))).alias("a"))
+    names = F.transform("a", lambda a: F.struct(a["pos"].alias("pos"), F.map_from_entries(a["e"]).alias("names")))
+    return x.drop("answers").join(maps, ["prog_name", "func_name"]).select("prog_name", "func_name", "body", "var_ids", "func_ids", names.alias("answers"))
+
+
+_F1 = "case when p + r < 0.001 then 0 else 2 * p * r / (p + r) end"
+PREFERENCE = f"""{INGEST}, ids as (select prog, f, k id, v gt, pos, true var from var_ids union all select prog, f, k, v, 100 + pos, false from func_ids), ans as ({P.ANSWER_ROWS}),
+nv as (select f, count(*) n from var_ids group by f), row0 as (select i.prog, i.f, i.id, i.gt, i.pos at_, i.var, a.pos, a.name from ids i join ans a on a.f = i.f and a.id = i.id),
+whole as (select f, pos, string_agg(name, '#' order by id) t from row0 where var group by f, pos having count(*) = (select n from nv where nv.f = row0.f)),
+some_ as (select f from whole group by f having count(distinct t) > 1),
+rows_ as (select *, {_F1} f1 from (select *, {sql_score("name", "gt", "gt", "name")} p, {sql_score("gt", "name", "gt", "name")} r from row0 where f in (select f from some_))),
+best as (select prog, f, id, gt, at_, var, arg_max(name, struct_pack(f1 := f1, pos := pos)) best, max(f1) top from rows_ group by all),
+head as (select prog, f, ':{{' || string_agg('''' || id || ''': ''' || best || '''', ', ' order by at_) || '}}' chosen, count(*) n, avg(top) filter (var) score from best group by prog, f having avg(top) filter (var) >= 0.2e0),
+every as (select distinct f, pos from ans where f in (select f from some_)),
+an as (select e.f, e.pos, coalesce(avg(f1) filter (var), 0) v, coalesce(avg(f1) filter (not var), 0) fn, count(id) n, ':{{' || string_agg('''' || id || ''': ''' || name || '''', ', ' order by at_) || '}}' t from every e left join rows_ r on r.f = e.f and r.pos = e.pos group by e.f, e.pos),
+ord as (select *, row_number() over (partition by f order by v, fn, pos) rn from an), worst as (select * from ord where rn = 1),
+sec as (select o.*, row_number() over (partition by o.f order by o.rn desc) k2 from ord o join head h using (f) join worst w using (f) where o.rn > 1 and o.n = h.n and o.v < h.score and o.t is distinct from w.t and o.t <> h.chosen),
+pair as (select f, 1 "rank", pos, t, v from worst join head using (f) where worst.n = head.n union all select f, 2, pos, t, v from sec where k2 = 1),
+inter as (select pair.f, "rank", string_agg(r.id, ',' order by r.id) i from pair join rows_ r on r.f = pair.f and r.pos = pair.pos join best b on b.f = r.f and b.id = r.id where b.top >= 0.4e0 and r.f1 + 0.1e0 < b.top group by all)"""
+
+
+@query(f"""with {PREFERENCE} select h.prog prog_name, {P.placeholder("h.f")} func_name, cast(pair."rank" as integer) as "rank", h.chosen, pair.t rejected, round(h.score, 6) chosen_score, round(pair.v, 6) rejected_score, coalesce(i.i, '') interesting
+from pair join head h using (f) left join inter i on i.f = pair.f and i."rank" = pair."rank" where h.score > pair.v""".replace("{{", "{").replace("}}", "}"))
+def preference_pairs(spark, d):
+    """The composed best answer beside the worst and beside the best other one, with gates on how hopeless a function or a name is."""
+    x = PR.preference_pairs(preference_entries(spark, d))
+    return x.select("prog_name", "func_name", "rank", "chosen", "rejected", F.round("chosen_score", 6).alias("chosen_score"), F.round("rejected_score", 6).alias("rejected_score"), F.array_join("interesting", ",").alias("interesting"))
+
+
+@query(f"""with {PREFERENCE.replace("{{", "{").replace("}}", "}").replace("and o.v < h.score and", "and")}, p as (select h.score > pair.v good, case when h.f % 8 = 0 then false else {_N} > ({_N} + {_PUTS} + 1) * 0.3e0 end over_ from pair join head h using (f) join funcs on funcs.f = h.f)
+select count(*) n, cast(count(*) filter (good) as bigint) reasonable, cast(count(*) filter (good and not over_) as bigint) kept, round(count(*) filter (good and not over_) / count(*), 6) kept_ratio from p""")
+def preference_ratios(spark, d):
+    """How many pairs are reasonable and not by heart, judged by the body that is taken back out of each prompt."""
+    entries = Scratch(spark, "preference").save(preference_entries(spark, d), "entries")
+    ids = F.transform(F.concat("var_ids", "func_ids"), lambda e: e["k"])
+    prompts = entries.select("prog_name", "func_name", N.strip_characters(F.concat(F.lit("<bos>"), A.render_prompt("body", ids)), "<bos>").alias("input"))
+    code = with_facts(prompts.select("prog_name", "func_name", N.body_of_prompt("input").alias("body"))).select("prog_name", "func_name", H.likely_overfit().alias("overfit"))
+    pairs = PR.preference_pairs(entries, filter_data=False).withColumn("reasonable", F.expr("chosen_score > rejected_score")).join(code, ["prog_name", "func_name"])
+    return PR.ratios(pairs).withColumn("kept_ratio", F.round("kept_ratio", 6))
+
+
+_GT = "coalesce((select any_value(v) from var_ids i where i.f = funcs.f and i.k = '{0}'), '{0}')"
+
+
+def _renamed(body: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        body = f"regexp_replace({body}, '([^a-zA-Z0-9_@]|^)(' || {old} || ')([^a-zA-Z0-9_@])', '\\1' || {new} || '\\3', 'g')"
+    return body
+
+
+_FGT = "coalesce((select any_value(v) from func_ids i where i.f = funcs.f and i.k = {0}), {0})"
+_TRUE = [(f"'{v}'", f"coalesce({v}.v, '{v}')") for v in P.VARS.values()] + [(P.placeholder("funcs.f"), f"coalesce(fo.v, {P.placeholder('funcs.f')})"), (f"coalesce({P.placeholder('n1')}, 'none')", f"coalesce(f1.v, {P.placeholder('n1')}, 'none')"), (f"coalesce({P.placeholder('n2')}, 'none')", f"coalesce(f2.v, {P.placeholder('n2')}, 'none')")]
+_WITH_TRUE = " ".join(f"left join (select f f_, k k_, v from var_ids) {v} on {v}.f_ = funcs.f and {v}.k_ = '{v}'" for v in P.VARS.values()) + " ".join(f" left join (select f f_, pos p_, v from func_ids) {n} on {n}.f_ = funcs.f and {n}.p_ = {i}" for i, n in enumerate(("fo", "f1", "f2")))
+_LISTED = "(k % 4 = 1 or k % 6 = 2)"
+_SAID = " || ".join(f"case when {v}.v is not null and ({P.predicted(j)}) is not null and {_LISTED} then ', ''' || {v}.v || ''': ''' || ({P.predicted(j)}) || '''' else '' end" for j, v in P.VARS.items())
+
+
+@query(f"""with {INGEST}, x as (select funcs.*, {_SAID} s, {_renamed(P.CODE, _TRUE)} body from funcs {_WITH_TRUE} where {_LISTED} and coalesce({", ".join(P.predicted(j) for j in P.VARS)}) is not null)
+select split_part(prog, '_', 1) prefix, {P.placeholder("f")} func_name, md5(body) body_md5, '{{' || substr(s, 3) || '}}' predictions from x""".replace("{{", "{").replace("}}", "}"))
+def judge_prompts(spark, d):
+    """Prompts for a judge: bodies with true names, and predictions by true name, of names listed in either of two layouts."""
+    preds = J.in_either(P.scored_names(spark, d).where("varname not like 'sub%'"), P.judge_list(spark, d))
+    x = J.judge_prompts(I.functions_of(P.raw_functions(spark, d)), preds)
+    return x.select("prefix", "func_name", F.md5("body").alias("body_md5"), "predictions")
+
+
+@query(f"""with {INGEST}, a as (select distinct split_part(prog, '_', 1) prefix, {P.placeholder("f")} func_name from funcs where {_LISTED} and coalesce({", ".join(P.predicted(j) for j in P.VARS)}) is not null)
+select prefix, func_name from a order by prefix, func_name limit 102""")
+def judge_order(spark, d):
+    """The functions to judge in order of their key, from position 0 to 101, both included; the range is the feature."""
+    preds = J.in_either(P.scored_names(spark, d).where("varname not like 'sub%'"), P.judge_list(spark, d))
+    return R.positions(J.judge_prompts(I.functions_of(P.raw_functions(spark, d)), preds).select("prefix", "func_name"), ["prefix", "func_name"], 0, 101)
+
+
+def _judged(side: int) -> str:
+    rows = " union all ".join(f"select prog, f, '{P.VARS[j]}' v, {P.truth_var(j)} gt, {P.judge_scores(j, side)[0]} qa, {P.judge_scores(j, side)[1]} qb from fun where k % {3 + side} <> 0 and (k + {j}) % 10 not in (3, 4, 5)" for j in (3, 4))
+    # Of placeholders with one true name the last one counts, for whichever block names it; of blocks for one placeholder the last.
+    return f"""j{side}a as (select r.prog, r.f, r.v said, r.gt, r.qa, r.qb, (select arg_max(i.k, i.pos) from var_ids i where i.f = r.f and i.v = r.gt) v from ({rows}) r where r.gt is not null),
+j{side} as (select prog, f, v, arg_max(gt, said) gt, arg_max(qa, said) qa, arg_max(qb, said) qb from j{side}a where v is not null group by prog, f, v)"""
+
+
+_ORIGIN = "f.f % 4 <> 0"
+JUDGED = f"{INGEST}, {_judged(0)}, {_judged(1)}"
+
+
+@query(f"""with {JUDGED}, x as (select a.qa aa, a.qb ab, b.qa ba, b.qb bb from j0 a join j1 b using (prog, f, v) where a.gt = b.gt and a.f % 4 <> 0)
+select 'a_qa' measure, cast(aa as integer) score, count(*) n from x group by aa union all select 'a_qb', cast(ab as integer), count(*) from x group by ab
+union all select 'b_qa', cast(ba as integer), count(*) from x group by ba union all select 'b_qb', cast(bb as integer), count(*) from x group by bb""")
+def judge_compare(spark, d):
+    """Scores out of all fenced blocks of two judged systems, merged on all they have in common, nulls included, as histograms."""
+    truth = Scratch(spark, "judge").save(I.functions_of(P.raw_functions(spark, d)).select("prog_name", "func_name", "var_ids"), "truth")
+    records = [P.judge_response(spark, d, s).join(truth, ["prog_name", "func_name"]).withColumn("scored", J.scored_answers("response", "var_ids")) for s in (0, 1)]
+    fresh = truth.where("conv(substring(func_name, 5), 16, 10) % 4 <> 0")
+    # Categories are null for some programs: nulls meet nulls.
+    number = F.regexp_extract("prog_name", "([0-9]+)", 1).cast("int")
+    origins = truth.select("prog_name").distinct().select("prog_name", (number % 2 == 0).alias("seen"), F.when(number % 3 > 0, F.lit("tool")).alias("category"), F.lit("x").alias("project"))
+    a, b = (J.judged_names(r) for r in records)
+    return J.score_histogram(J.compare_judged(a, b, origins, fresh))
