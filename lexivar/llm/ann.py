@@ -124,6 +124,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector: str =
         return pa.table([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "id", "score"])
 
     def found(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.select(*[F.col(c).alias(f"{c}_") for c in y.columns]).toDF(*y.columns)  # both sides stem from the same rows; new names for the columns of one
         return x.groupBy("dim", "b", "c").cogroup(y.groupBy("dim", "b", "c")).applyInArrow(search, "query_id long, id long, score double")
 
     scratch = Scratch(vectors.sparkSession, "nearest")
