@@ -135,6 +135,18 @@ def rekey_address(name, width: int = 16, upper: bool = True) -> Column:
     return F.format_string(f"%0{width}{'X' if upper else 'x'}", value)
 
 
+def overlap_program(prog) -> Column:
+    """The program of an overlap list: its prefix, only where the name has jsonl in it."""
+    p = col(prog)
+    return F.when(F.contains(p, F.lit("jsonl")), program_prefix(p)).otherwise(p)
+
+
+def overlap_function(func, prefix: str = "sub_") -> Column:
+    """The function of an overlap list: its address in 16 digits, only where the name has the prefix in it."""
+    f = col(func)
+    return F.when(F.contains(f, F.lit(prefix)), rekey_address(f)).otherwise(f)
+
+
 def signature(ids, own_name) -> Column:
     return F.array_join(F.array_sort(F.concat(col(ids), F.array(col(own_name)))), "#")
 

@@ -19,10 +19,34 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """One row a key, the last in order: an aggregate with map-side combine instead of a sort of all rows."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    """One row a key, the last in order: a group limit drops most rows before the shuffle, then each key's rows are ranked."""
+    down = [F.col(c).desc_nulls_last() if isinstance(c, str) else c.desc_nulls_last() for c in order]
+    return df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*down))).where("__rank = 1").drop("__rank")
+
+
+def common_keys(rows: DataFrame, keys: Sequence[str], systems: Sequence[str]) -> DataFrame:
+    """One row a key that every system has, with the greatest value of each: columns of systems are null where a row is not theirs."""
+    out = rows.groupBy(*keys).agg(*[F.max(s).alias(s) for s in systems])
+    return out.where(" and ".join(f"`{s}` is not null" for s in systems))
+
+
+def enforced(df: DataFrame, dimension: DataFrame, key: str, column: str) -> DataFrame:
+    """df with the dimension's column; a row whose key the dimension lacks is an error, not a row that goes."""
+    joined = df.join(dimension.select(key, F.struct(column).alias("__found")), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"{key} without an entry: "), F.col(key).cast("string")))
+    return joined.withColumn(column, F.when(F.col("__found").isNull(), missing.cast(dimension.schema[column].dataType)).otherwise(F.col(f"__found.{column}"))).drop("__found")
+
+
+def combine_files(rounds: Sequence[tuple[str, DataFrame]], keys: Sequence[str], order: str, fields: Sequence[str], name: str = "name_list") -> DataFrame:
+    """(keys, name): candidates of all rounds as one list a key, by round and then by `order`. rounds: (path, rows); a path that stood before is left out."""
+    first: dict[str, DataFrame] = {}
+    for path, df in rounds:
+        first.setdefault(path, df)
+    parts = [df.select(*keys, F.lit(i).alias("src_seq"), F.lit(path).alias("src"), order, *fields) for i, (path, df) in enumerate(first.items())]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return ordered_lists(every, keys, ["src_seq", order], [*fields, "src"], name)
 
 
 def first_seen_programs(funcs: DataFrame, prog: str, name: str, order: Sequence[str], share: float = 0.7) -> DataFrame:
@@ -43,6 +67,20 @@ def hash_split(df: DataFrame, key: str, train: float = 0.9) -> DataFrame:
     return df.withColumn("split", F.when(bucket < int(train * 1000), "train").otherwise("test"))
 
 
+def permuted_split(df: DataFrame, key: str, train: float = 0.9, seed: int = 42) -> DataFrame:
+    """df(key, distinct) with `split`: a seeded permutation, in the order of a hash of key and seed, cut so that int(train * n) rows are `train`.
+
+    The row at the cut is found by a sort over all tasks; no task holds all rows.
+    """
+    x = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))))
+    cut = int(x.count() * train)
+    edge = x.orderBy("__h", F.desc(key)).offset(cut).limit(1).collect()
+    if not edge:
+        return x.drop("__h").withColumn("split", F.lit("train"))
+    before = (F.col("__h") < edge[0]["__h"]) | ((F.col("__h") == edge[0]["__h"]) & (F.col(key) > F.lit(edge[0][key])))
+    return x.withColumn("split", F.when(before, "train").otherwise("test")).drop("__h")
+
+
 def freq_bins(rows: DataFrame, freq: str, measures: Sequence[str], bins: Sequence[int] = BINS) -> DataFrame:
     """Means in the bins (-1, 0], (0, 10], ...; an empty bin stays, with nulls; what is above the last bin has none."""
     spark = rows.sparkSession

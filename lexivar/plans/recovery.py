@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexivar.functions import answers as A
@@ -11,6 +12,8 @@ from lexivar.operators import graph as G
 from lexivar.operators import hints as H
 from lexivar.operators import ingest as I
 from lexivar.operators import judge as J
+from lexivar.operators import origins as O
+from lexivar.operators import overlap as OV
 from lexivar.operators import preference as PR
 from lexivar.operators import propagation as PG
 from lexivar.operators import relational as R
@@ -19,6 +22,7 @@ from lexivar.parsing.facts import with_facts
 from lexivar.plans import programs as P
 from lexivar.plans.registry import query
 from lexivar.sources.scratch import Scratch
+from lexivar.sources.tables import read_jsonl, table, write_jsonl
 
 
 def pairs_text(pairs: str | Column) -> Column:
@@ -301,7 +305,21 @@ def preference_ratios(spark, d):
     return PR.ratios(pairs).withColumn("kept_ratio", F.round("kept_ratio", 6))
 
 
-_GT = "coalesce((select any_value(v) from var_ids i where i.f = funcs.f and i.k = '{0}'), '{0}')"
+_ROUND = " union all ".join(f"select prog, f, {r} r, '{P.VARS[j]}' v, {P.candidate(j, r)} name from fun where f % {r + 2} <> 0" for r in range(P.ROUNDS) for j in (3, 4))
+
+
+@query(f"""with {INGEST}, c as ({_ROUND}) select prog prog_name, {P.placeholder("f")} func_name, v varname, string_agg(r || ':' || name, ',' order by r) names from c group by prog, f, v""")
+def combine_files(spark, d):
+    """Files of rounds, one of them listed twice, as one list of candidates a name in the order of files and lines."""
+    scratch = Scratch(spark, "rounds")
+    names = P.candidate_names(spark, d).where("varname in ('v1', 'v2')").withColumn("k", F.conv(F.expr("substring(func_name, 5)"), 16, 10).cast("long"))
+    for r in range(P.ROUNDS):
+        rows = names.where(f"k % {r + 2} <> 0").select("prog_name", "func_name", "varname", F.col("candidates")[r]["pred_name"].alias("pred_name"), F.col("k").alias("line_no"))
+        write_jsonl(rows, f"{scratch.root}/round{r}")
+    listed = [f"{scratch.root}/round{r}" for r in (0, 1, 0, 2)]
+    schema = "prog_name string, func_name string, varname string, pred_name string, line_no long"
+    x = R.combine_files([(p, read_jsonl(spark, p, schema)) for p in listed], ["prog_name", "func_name", "varname"], "line_no", ["pred_name"])
+    return x.select("prog_name", "func_name", "varname", F.array_join(F.transform("name_list", lambda e: F.concat(e["src_seq"].cast("string"), F.lit(":"), e["pred_name"])), ",").alias("names"))
 
 
 def _renamed(body: str, pairs: list[tuple[str, str]]) -> str:
@@ -310,7 +328,6 @@ def _renamed(body: str, pairs: list[tuple[str, str]]) -> str:
     return body
 
 
-_FGT = "coalesce((select any_value(v) from func_ids i where i.f = funcs.f and i.k = {0}), {0})"
 _TRUE = [(f"'{v}'", f"coalesce({v}.v, '{v}')") for v in P.VARS.values()] + [(P.placeholder("funcs.f"), f"coalesce(fo.v, {P.placeholder('funcs.f')})"), (f"coalesce({P.placeholder('n1')}, 'none')", f"coalesce(f1.v, {P.placeholder('n1')}, 'none')"), (f"coalesce({P.placeholder('n2')}, 'none')", f"coalesce(f2.v, {P.placeholder('n2')}, 'none')")]
 _WITH_TRUE = " ".join(f"left join (select f f_, k k_, v from var_ids) {v} on {v}.f_ = funcs.f and {v}.k_ = '{v}'" for v in P.VARS.values()) + " ".join(f" left join (select f f_, pos p_, v from func_ids) {n} on {n}.f_ = funcs.f and {n}.p_ = {i}" for i, n in enumerate(("fo", "f1", "f2")))
 _LISTED = "(k % 4 = 1 or k % 6 = 2)"
@@ -358,3 +375,64 @@ def judge_compare(spark, d):
     origins = truth.select("prog_name").distinct().select("prog_name", (number % 2 == 0).alias("seen"), F.when(number % 3 > 0, F.lit("tool")).alias("category"), F.lit("x").alias("project"))
     a, b = (J.judged_names(r) for r in records)
     return J.score_histogram(J.compare_judged(a, b, origins, fresh))
+
+
+def _sides(spark, d):
+    """Signed functions of the test programs (every fiftieth customer) and of the training programs."""
+    x = Scratch(spark, "overlap").save(OV.signed(I.functions_of(P.raw_functions(spark, d))), "signed")
+    number = F.regexp_extract("prog_name", "([0-9]+)", 1).cast("int")
+    return x.where(number % 50 == 7), x.where(number % 50 != 7)
+
+
+_SIG = f"""{INGEST}, names as (select f, k s from var_ids union all select f, v from func_ids where pos = 0), sig as (select f, string_agg(s, '#' order by s) sig from names group by f),
+sg as (select funcs.prog, funcs.f, coalesce(sig.sig, '') sig, cast(regexp_extract(prog, '([0-9]+)', 1) as integer) % 50 = 7 test from funcs left join sig on sig.f = funcs.f)"""
+
+
+@query(f"""with {_SIG} select a.prog prog_name, {P.placeholder("a.f")} func_name, b.prog train_prog_name, {P.placeholder("b.f")} train_func_name, cast(100 as integer) name_ratio from sg a join sg b on a.sig = b.sig where a.test and not b.test""")
+def overlap_exact(spark, d):
+    """Test and training functions of equal signature (sorted placeholders and own true name)."""
+    test, train = _sides(spark, d)
+    return OV.exact(test, train).select("prog_name", "func_name", "train_prog_name", "train_func_name", "name_ratio")
+
+
+@query(f"""with {_SIG} select sig, count(*) n from sg where not test group by sig""")
+def overlap_groups(spark, d):
+    """A2: training functions grouped by signature."""
+    return OV.grouped(_sides(spark, d)[1]).select("sig", "n")
+
+
+@query()
+def overlap_candidates(spark, d):
+    """Exact pairs and pairs of signatures with a ratio over 90, each once, with the ratio of their renamed bodies. No SQL: a test compares it with all pairs."""
+    return OV.candidates(*_sides(spark, d))
+
+
+@query("""with o as (select page_id, regexp_extract(url, '//([^/:]*)', 1) project, case when page_id % 5 = 0 then null else regexp_extract(url, '//[^/]*/([a-z]+)', 1) end category0 from pages), c as (select *, coalesce(category0, 'unknown') category from o),
+w as (select page_id, category, unnest(f) w, unnest(range(len(f))) i from (select page_id, category, list_transform(list_filter(regexp_split_to_array(project, '[^a-zA-Z]'), lambda w: length(w) > 1), lambda w: lower(w)) f from c)),
+tr as (select distinct w.w, w.category from w where page_id % 4 = 0), h as (select w.page_id, w.i, bool_or(tr.category = w.category) own from w join tr on tr.w = w.w where page_id % 4 <> 0 group by w.page_id, w.i),
+f as (select page_id, arg_min(own, i) own from h group by page_id)
+select c.page_id, c.project in (select project from c where page_id % 4 = 0) or coalesce(f.own, false) seen from c left join f on f.page_id = c.page_id where c.page_id % 4 <> 0""")
+def project_seen(spark, d):
+    """Whether a program's project stands in training: by name, else by the categories of its first fragment found there."""
+    host, path = F.regexp_extract("url", "//([^/:]*)", 1), F.regexp_extract("url", "//[^/]*/([a-z]+)", 1)
+    x = table(spark, d, "pages").select(F.col("page_id").alias("binary"), host.alias("project"), F.when(F.col("page_id") % 5 != 0, path).alias("category"))
+    return O.project_seen(x.where("binary % 4 <> 0"), x.where("binary % 4 = 0")).withColumnRenamed("binary", "page_id")
+
+
+_DEG = f"""deg as (select f, count(distinct callee) n from said where callee <> f and callee in (select f from fun) group by f), rk as (select funcs.*, coalesce(deg.n, 0) out_degree from funcs left join deg on deg.f = funcs.f)"""
+_IDS = """idl as (select f, list(k order by side, pos) ids from (select f, k, pos, 0 side from var_ids union all select f, k, pos, 1 from func_ids) group by f)"""
+
+
+@query(f"""with {HINTS}, {_DEG}, {_IDS}, t as (select rk.*, case when prog in (select prog from asked) then coalesce(ce.t, '') || coalesce(cs.t, '') else '' end h, idl.ids from rk left join ce on ce.f = rk.f left join cs on cs.f = rk.f left join idl on idl.f = rk.f)
+select prog prog_name, {P.placeholder("f")} func_name, out_degree, row_number() over (partition by prog order by out_degree, f) "position",
+md5({P.NL} || substr({P.CODE}, 1, 200) || case when h = '' then '' else {P.NL} || h end || {P.NL} || {P.NL} || {P.NL} || {P.NL} || 'Q:[' || array_to_string(list_transform(ids[1:3], lambda i: i || ','), '') || ']A') prompt_md5 from t""")
+def ordered_prompts(spark, d):
+    """Prompts with hints, bodies cut at 200 characters and three ids at most, in each program by rising out-degree, then as the functions stand."""
+    functions = Scratch(spark, "prompts").save(I.functions_of(P.raw_functions(spark, d)), "functions")
+    edges = call_edges(spark, d)
+    degree = edges.groupBy("prog_name", F.col("caller").alias("func_name")).agg(F.count(F.lit(1)).alias("out_degree"))
+    x = functions.join(degree, ["prog_name", "func_name"], "left").na.fill(0, ["out_degree"])
+    x = x.join(context_hints(spark, d), ["prog_name", "func_name"], "left")
+    ids = F.transform(F.concat("var_ids", "func_ids"), lambda e: e["k"])
+    place = F.row_number().over(W.partitionBy("prog_name").orderBy("out_degree", "func_seq")).cast("long")
+    return x.select("prog_name", "func_name", "out_degree", place.alias("position"), F.md5(A.render_prompt("body", ids, "hints", max_body=200, max_ids=3)).alias("prompt_md5"))

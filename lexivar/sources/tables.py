@@ -21,19 +21,40 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.parquet(*there)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, corrupt: str | None = None) -> DataFrame:
-    """JSON Lines: strict fails on a malformed line; otherwise such lines go, or stand in the column `corrupt`."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    if corrupt is None:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return spark.read.schema(f"{schema}, {corrupt} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
+def read_listed(spark: SparkSession, path: str) -> DataFrame:
+    """The tables whose paths stand in a text file, line by line. A list of files is small; only its lines come to the driver."""
+    return read_files(spark, [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()])
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, corrupt: str | None = None, first: int | None = None) -> DataFrame:
+    """JSON Lines: strict fails on a malformed line; otherwise such lines go, or stand in the column `corrupt`. `first` takes so many lines from the start."""
+    mode = "FAILFAST" if strict else "DROPMALFORMED" if corrupt is None else "PERMISSIVE"
+    reader = spark.read.schema(schema if strict or corrupt is None else f"{schema}, {corrupt} string").option("mode", mode)
+    if corrupt is not None:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    if first is None:
+        return reader.json(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    head = [r["value"] for r in lines.orderBy("f", "b", "i").limit(first).collect()]  # as many lines as were asked for
+    return reader.json(spark.sparkContext.parallelize(head, 1))
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """A nested table as files of one JSON array each."""
+    rows = df.select(F.to_json(F.struct("*")).alias("j")).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    rows.select("value").repartition("value").write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_with_errors(df: DataFrame, good, path: str, error_path: str) -> None:
+    """Rows that are good to one sink, all others, and those of which it is not known, to another."""
+    df.where(F.coalesce(good, F.lit(False))).write.mode("overwrite").json(path)
+    df.where(~F.coalesce(good, F.lit(False))).write.mode("overwrite").json(error_path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
