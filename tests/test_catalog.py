@@ -1,9 +1,10 @@
-"""Every query of the catalogue against its SQL on the smallest tables."""
+"""Every query of the library against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
-from lexivar.plans import catalog
+from lexivar.plans import catalog, recovery, storage  # noqa: F401
+from lexivar.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,10 +24,10 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    if name in catalog.ORACLE:
-        want = duck.sql(catalog.ORACLE[name])
+    if name in ORACLE:
+        want = duck.sql(ORACLE[name])
         assert got == rows(want.columns, want.fetchall())
