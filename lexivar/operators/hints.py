@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivar.functions.names import col, rename_all
+from lexivar.functions.names import col, demangled, rename_all
 from lexivar.operators.ingest import last_values
 
 #: What makes a string telling, and which share of unnamed callees is too much.
@@ -43,6 +43,25 @@ def predicted_names(scored: DataFrame) -> DataFrame:
     return grouped.select("prog_name", "func_name", last_values(pairs).alias("names"))
 
 
+def names_for_training(functions: DataFrame, predicted: DataFrame, gt_only: bool = False) -> DataFrame:
+    """(prog_name, func_name, names, source): a function's predicted names, else its true ones (functions demangled); source is `infer` or `gt`.
+
+    functions(prog_name, func_name, var_ids, func_ids), predicted as predicted_names() gives it.
+    """
+    true_names = F.concat("var_ids", F.transform("func_ids", lambda e: F.struct(e["k"].alias("k"), demangled(e["v"]).alias("v"))))
+    x = functions.select("prog_name", "func_name", true_names.alias("gt"))
+    if gt_only:
+        return x.select("prog_name", "func_name", F.col("gt").alias("names"), F.lit("gt").alias("source"))
+    x = x.join(predicted.withColumnRenamed("names", "predicted"), ["prog_name", "func_name"], "left")
+    return x.select("prog_name", "func_name", F.coalesce("predicted", "gt").alias("names"), F.when(F.col("predicted").isNull(), "gt").otherwise("infer").alias("source"))
+
+
+def source_statistics(parsed: DataFrame, names: DataFrame, prefix: str = "sub_") -> DataFrame:
+    """(source, n): from where the names came of the functions that tell enough by themselves."""
+    x = parsed.join(names, ["prog_name", "func_name"]).where(context_sufficient(prefix=prefix))
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def hints(parsed: DataFrame, scored: DataFrame, edges: DataFrame, prefix: str = "sub_") -> DataFrame:
     """(prog_name, func_name, callees, callsites) of each function that has predictions or is called by one.
 

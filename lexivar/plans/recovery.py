@@ -17,6 +17,7 @@ from lexivar.operators import overlap as OV
 from lexivar.operators import preference as PR
 from lexivar.operators import propagation as PG
 from lexivar.operators import relational as R
+from lexivar.operators import rounds as RO
 from lexivar.operators import scoring as SC
 from lexivar.parsing.facts import with_facts
 from lexivar.plans import programs as P
@@ -436,3 +437,26 @@ def ordered_prompts(spark, d):
     ids = F.transform(F.concat("var_ids", "func_ids"), lambda e: e["k"])
     place = F.row_number().over(W.partitionBy("prog_name").orderBy("out_degree", "func_seq")).cast("long")
     return x.select("prog_name", "func_name", "out_degree", place.alias("position"), F.md5(A.render_prompt("body", ids, "hints", max_body=200, max_ids=3)).alias("prompt_md5"))
+
+
+@query(f"""with {HINTS} select case when k % 7 <> 0 and coalesce({", ".join(P.predicted(j) for j in P.VARS)}, {P.PREDICTED_OWN}, {P.PREDICTED_N1}) is not null then 'infer' else 'gt' end source, count(*) n from enough group by 1""")
+def hint_statistics(spark, d):
+    """From where names come for the hints of training, over all programs: predictions, else the truth."""
+    functions = Scratch(spark, "statistics").save(I.functions_of(P.raw_functions(spark, d)), "functions")
+    names = H.names_for_training(functions, H.predicted_names(P.scored_names(spark, d).where("floor(line_no / 6) % 7 <> 0")))
+    return H.source_statistics(with_facts(functions.select("prog_name", "func_name", "body")), names)
+
+
+@query(f"""with {SCORED} select prog prog_name, {P.placeholder("f")} func_name, id varname, string_agg(pos || ':' || name, ',' order by pos) names from said_ group by prog, f, id""")
+def recovery_rounds(spark, d):
+    """The loop of asking, scoring and drawing hints in three rounds, with a table of answers in the model's place."""
+    scratch = Scratch(spark, "loop")
+    functions = scratch.save(I.functions_of(P.raw_functions(spark, d)), "functions")
+    parsed = scratch.save(with_facts(functions.select("prog_name", "func_name", "func_seq", "body")).drop("ir"), "parsed")
+    edges, answers = scratch.save(call_edges(spark, d), "edges"), P.model_answers(spark, d)
+
+    def ask(prompts, i):
+        return prompts.select("prog_name", "func_name").join(answers.withColumn("answers", F.filter("answers", lambda a: a["pos"] == i)), ["prog_name", "func_name"])
+
+    x = RO.recover(functions, parsed, edges, ask, P.ANSWERS)
+    return x.select("prog_name", "func_name", "varname", F.array_join(F.transform("name_list", lambda e: F.concat(e["src_seq"].cast("string"), F.lit(":"), e["pred_name"])), ",").alias("names"))

@@ -36,7 +36,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True,
         return reader.json(path)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     head = [r["value"] for r in lines.orderBy("f", "b", "i").limit(first).collect()]  # as many lines as were asked for
-    return reader.json(spark.sparkContext.parallelize(head, 1))
+    if corrupt is not None:
+        schema, options = f"{schema}, {corrupt} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    else:
+        options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    found = spark.createDataFrame([(v,) for v in head], "value string").select("value", F.from_json("value", schema, options).alias("r"))
+    return (found if strict or corrupt is not None else found.where(F.get_json_object("value", "$").isNotNull())).select("r.*")
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
