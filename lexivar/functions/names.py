@@ -111,14 +111,25 @@ def same_token_by_edits(gt: Column, pred: Column) -> Column:
     return (gt == pred) | F.startswith(gt, pred) | F.startswith(pred, gt) | near
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def score_name(gt, pred, same=same_token) -> Column:
     """struct(precision, recall): distinct matched tokens over the number of tokens; equal names 1, no tokens 0."""
-    g, p = F.lower(col(gt)), F.lower(col(pred))
-    gt_t, pr_t = tokenize(g), tokenize(p)
-    part = lambda a, b, f: F.size(F.array_distinct(F.filter(a, lambda x: F.exists(b, lambda y: f(x, y))))) / F.size(a)
-    empty = (F.size(gt_t) == 0) | (F.size(pr_t) == 0)
-    value = lambda x: F.when(g == p, 1.0).when(empty, 0.0).otherwise(x)
-    return F.struct(value(part(pr_t, gt_t, lambda x, y: same(y, x))).alias("precision"), value(part(gt_t, pr_t, same)).alias("recall"))
+
+    def of_tokens(x: Column) -> Column:
+        part = lambda a, b, f: F.size(F.array_distinct(F.filter(a, lambda t: F.exists(b, lambda u: f(t, u))))) / F.size(a)
+        empty = (F.size(x["g"]) == 0) | (F.size(x["p"]) == 0)
+        precision, recall = part(x["p"], x["g"], lambda t, u: same(u, t)), part(x["g"], x["p"], same)
+        return F.struct(F.when(empty, 0.0).otherwise(precision).alias("precision"), F.when(empty, 0.0).otherwise(recall).alias("recall"))
+
+    def of_names(x: Column) -> Column:
+        whole = F.struct(F.lit(1.0).alias("precision"), F.lit(1.0).alias("recall"))
+        return F.when(x["g"] == x["p"], whole).otherwise(let(F.struct(tokenize(x["g"]).alias("g"), tokenize(x["p"]).alias("p")), of_tokens))
+
+    return let(F.struct(F.lower(col(gt)).alias("g"), F.lower(col(pred)).alias("p")), of_names)
 
 
 def f1(p, r) -> Column:

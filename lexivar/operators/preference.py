@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivar.functions.answers import render_map
@@ -20,11 +20,6 @@ def distinct_answers(entries: DataFrame) -> DataFrame:
     return entries.where((F.size("var_ids") > 0) & (F.size(whole) > 1))
 
 
-def _f1(gt: str, pred: str) -> Column:
-    s = score_name(gt, pred)
-    return f1(s["precision"], s["recall"])
-
-
 def preference_pairs(entries: DataFrame, prefix: str = "sub_", filter_data: bool = True) -> DataFrame:
     """entries(prog_name, func_name, var_ids, func_ids, answers array<struct<pos, names map>>) -> (prog_name, func_name, rank, chosen, rejected, gt, chosen_score, rejected_score, interesting).
 
@@ -38,7 +33,7 @@ def preference_pairs(entries: DataFrame, prefix: str = "sub_", filter_data: bool
     ids = some.select(*key, F.posexplode(F.concat("var_ids", "func_ids")).alias("at", "e")).select(*key, "at", F.col("e.k").alias("id"), F.col("e.v").alias("gt"))
     said = some.select(*key, F.explode("answers").alias("a")).select(*key, F.col("a.pos").alias("pos"), F.explode("a.names").alias("id", "name"))
     every = some.select(*key, F.explode("answers.pos").alias("pos"))
-    rows = ids.join(said, [*key, "id"]).withColumn("f1", _f1("gt", "name")).withColumn("var", ~F.startswith("id", F.lit(prefix)))
+    rows = ids.join(said, [*key, "id"]).withColumn("s", score_name("gt", "name")).withColumn("f1", f1("s.precision", "s.recall")).drop("s").withColumn("var", ~F.startswith("id", F.lit(prefix)))
     best = rows.groupBy(*key, "at", "id", "gt", "var").agg(F.max_by("name", F.struct("f1", "pos")).alias("best"), F.max("f1").alias("top"))
     score = F.coalesce(F.avg(F.when(F.col("var"), F.col("top"))), F.lit(None).cast("double"))
     head = best.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "id", "best", "top"))).alias("bests"), score.alias("chosen_score")).where(F.col("chosen_score") >= HOPELESS)
