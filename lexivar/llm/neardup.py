@@ -318,3 +318,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
+#: The same by a join of all shingles and a walk along all links: whole tables, but only for small ones.
+OP9_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+     s as (select distinct doc_id, s from (select doc_id, array_to_string(w[i:i + 2], ' ') as s from w, unnest(range(1, greatest(len(w) - 1, 2))) as r(i) where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (s) where a.doc_id < b.doc_id group by all),
+     l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+     e as (select x, y from l union all select y, x from l),
+     reach(doc_id, to_id) as (select doc_id, doc_id from w union select reach.doc_id, e.y from reach join e on e.x = reach.to_id),
+     c as (select doc_id, min(to_id) as component_id from reach group by doc_id)
+select c.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, c.doc_id = c.component_id as kept from c left join n on n.doc_id = c.doc_id
+"""

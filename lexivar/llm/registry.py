@@ -8,10 +8,10 @@ from .langid import op10_langid
 from .linededup import op3_line_dedup
 from .lmscore import OP6_SQL, OP6_TRIGRAMS_SQL, op6_lm_score, op6_lm_score_trigrams
 from .mixing import op1_entropy_mix
-from .neardup import op9_near_duplicates
+from .neardup import OP9_SQL, op9_near_duplicates
 from .pii import op8_pii
 from .quality import op2_quality
-from .warc import op5_warc
+from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op6_lm_score": OP6_SQL, "op6_lm_score_trigrams": OP6_TRIGRAMS_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_warc": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op6_lm_score": OP6_SQL, "op6_lm_score_trigrams": OP6_TRIGRAMS_SQL}

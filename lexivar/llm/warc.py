@@ -202,3 +202,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), f"{scratch.root}/archive")
     return read_warc(spark, f"{scratch.root}/archive").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base 32 by groups of five hexadecimal digits, four letters each.
+OP5_SQL = f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+     q as (select page_id, strlen(body) as n, sha1(body) as d, min(page_id) over (partition by body) as first from p),
+     g as (select *, list_transform(range(8), lambda i: cast('0x' || substr(d, cast(5 * i + 1 as integer), 5) as bigint)) as v from q)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(v, lambda x: substr('{_B32}', cast((x >> 15) & 31 as integer) + 1, 1) || substr('{_B32}', cast((x >> 10) & 31 as integer) + 1, 1)
+         || substr('{_B32}', cast((x >> 5) & 31 as integer) + 1, 1) || substr('{_B32}', cast(x & 31 as integer) + 1, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as verified
+from g
+"""
