@@ -17,7 +17,8 @@ the full sets, in blocks of bounded size: each such pair is tested in the task,
 components; so do buckets in which a pair was trusted on its sketches and then failed on its sets. So no link between two components is lost,
 however large a bucket is, and rows grow with members, not with pairs.
 
-The last join, of rows with their groups, deals each group over SALTS keys, so that a group of copies that holds a third of all rows is not one task's.
+In the last join, of rows with their groups, groups that hold more than one of HOT rows are at most HOT and are broadcast, so a group of copies that holds a
+third of all rows is not one task's; the others are joined by shuffle.
 
 Rows: null or wordless texts have an empty set, n_shingles 0, and stand alone. A null id stands alone, kept, with a null component. Repeated ids
 with equal texts are one group whose rows all have doc_id = component_id. Empty tables give empty results.
@@ -43,7 +44,7 @@ REGISTERS = 512
 BLOCK = 2048
 ITEMS = 1_000_000
 SIEVE_BITS = 1 << 25
-SALTS = 32
+HOT = 1000
 _U = np.uint64
 
 
@@ -308,10 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     scratch.drop("member", "open", "reps")
     # Back to documents: rows of equal sets share their representative, representatives their component.
     key = drawn.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    linked = key.join(comp.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or comp is not null").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
-    linked = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = drawn.where("n > 0 and id is not null").select("id", "n", "fp1", "fp2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = dealt.join(linked, ["fp1", "fp2", "n", "salt"], "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
+    linked = key.join(comp.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or comp is not null").select("fp1", "fp2", "n", "copies", F.coalesce("comp", "rep").alias("comp"))
+    linked = scratch.save(linked, "groups")
+    rows_ = drawn.where("n > 0 and id is not null").select("id", "n", "fp1", "fp2")
+    least, same = rows_.count() // HOT, ["fp1", "fp2", "n"]
+    hot, cold = (linked.where(c).drop("copies") for c in (F.col("copies") > least, F.col("copies") <= least))
+    rest = rows_.join(F.broadcast(hot.drop("comp")), same, "left_anti").join(cold, same, "left")
+    out = rows_.join(F.broadcast(hot), same).unionByName(rest).select("id", "n", F.coalesce("comp", "id").alias("comp"))
     out = out.unionByName(drawn.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
