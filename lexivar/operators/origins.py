@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivar.functions.names import project_fragments
-from lexivar.operators.relational import small
 
 
 def train_fragments(origins: DataFrame) -> DataFrame:
@@ -20,11 +19,11 @@ def project_seen(origins: DataFrame, train: DataFrame, exact_only: bool = False)
 
     A project that stands in training is seen. Else the first fragment of its name that stands in training decides: seen if the own category is among that fragment's.
     """
-    same = small(train.select("project").distinct()).withColumn("same", F.lit(True))
+    same = train.select("project").distinct().withColumn("same", F.lit(True))
     x = origins.select("binary", "project", F.coalesce("category", F.lit("unknown")).alias("category")).join(same, "project", "left")
     if exact_only:
         return x.select("binary", F.coalesce("same", F.lit(False)).alias("seen"))
     words = x.where("same is null").select("binary", "category", F.posexplode(project_fragments("project")).alias("at", "fragment"))
-    hits = words.join(small(train_fragments(train)), "fragment").select("binary", F.struct("at", F.array_contains("categories", F.col("category")).alias("own")).alias("hit"))
+    hits = words.join(train_fragments(train), "fragment").select("binary", F.struct("at", F.array_contains("categories", F.col("category")).alias("own")).alias("hit"))
     first = hits.groupBy("binary").agg(F.min("hit")["own"].alias("own"))
     return x.join(first, "binary", "left").select("binary", F.coalesce("same", "own", F.lit(False)).alias("seen"))

@@ -1,4 +1,7 @@
-"""Deduplication, splits, last-wins, voting, evaluation: windows, joins and aggregates that Catalyst plans."""
+"""Deduplication, splits, last-wins, voting, evaluation: windows, joins and aggregates that Catalyst plans.
+
+No side is broadcast by a hint: Spark does so itself where files or finished stages show it to be under its threshold, and joins by shuffle beyond.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Dimension tables under this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 BINS = (0, 10, 100, 1000, 999999)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is known to be small; a bounded look decides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row a key, the last in order: a group limit drops most rows before the shuffle, then each key's rows are ranked."""
     down = [F.col(c).desc_nulls_last() if isinstance(c, str) else c.desc_nulls_last() for c in order]

@@ -37,8 +37,8 @@ def macro_compare(spark: SparkSession, d: str) -> DataFrame:
     """Two systems on common keys, not overlapping, macro mean by project seen in training; a program without an origin is an error."""
     both = _systems(spark, d, pa=("l_discount", "true"), pb=("l_tax", "l_returnflag <> 'R'"))
     fresh = t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("func"))
-    origin = t(spark, d, "supplier").join(R.small(t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("prog"), (F.col("n_regionkey") < 2).alias("in_train"))
-    rows = R.enforced(both.join(fresh, "func", "left_semi"), R.small(origin), "prog", "in_train")
+    origin = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("prog"), (F.col("n_regionkey") < 2).alias("in_train"))
+    rows = R.enforced(both.join(fresh, "func", "left_semi"), origin, "prog", "in_train")
     out = R.macro_mean(rows, "prog", "in_train", ["pa", "pb"])
     return out.select("in_train", F.round("pa", 6).alias("precision_a"), F.round("pb", 6).alias("precision_b"), "n_programs", "n")
 
@@ -308,7 +308,7 @@ select page_id, exists (select 1 from tr where list_contains(f, w)) seen from x
 def project_leak(spark, d):
     """whether any fragment of the project's name stands in training; project_seen has the rule of J22."""
     x = t(spark, d, "pages").select("page_id", N.project_fragments(F.regexp_extract("url", "//([^/]*)", 1)).alias("f"))
-    known = R.small(x.where("page_id % 2 = 0").select(F.explode("f").alias("w")).distinct().withColumn("hit", F.lit(True)))
+    known = x.where("page_id % 2 = 0").select(F.explode("f").alias("w")).distinct().withColumn("hit", F.lit(True))
     hit = x.where("page_id % 2 = 1").select("page_id", F.explode_outer("f").alias("w")).join(known, "w", "left")
     return hit.groupBy("page_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("seen"))
 

@@ -55,7 +55,7 @@ def jsonl_first_lines(spark, d):
 def json_document(spark, d):
     """A nested document of lists by program, written as JSON documents and read back."""
     path = f"{Scratch(spark, 'doc').root}/hints"
-    x = T.table(spark, d, "supplier").join(R.small(T.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    x = T.table(spark, d, "supplier").join(T.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     T.write_json_document(R.ordered_lists(x.select(F.col("n_name").alias("prog"), F.col("s_suppkey").alias("item"), F.col("s_name").alias("text")), ["prog"], ["item"], ["text"]), path)
     out = T.read_json_document(spark, path, "prog string, items array<struct<item:long,text:string>>")
     return out.select("prog", F.explode("items").alias("i")).select("prog", "i.item", "i.text")
