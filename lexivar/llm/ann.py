@@ -34,7 +34,7 @@ GROWTH = 1.2
 START = 0.29
 Z = 2.2
 BLOCK = 16_384
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 32_768
 
 
 def _normal_within(x: np.ndarray | float) -> float:

@@ -21,6 +21,23 @@ def unique_rows(scratch: Scratch, docs: DataFrame, id_col: str, key: str) -> Dat
     return scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, column: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """Drops most rows whose column has no equal in wanted(column) before they are shuffled; every row with an equal stays, nulls go.
+
+    Values hash to a bitmap of `bits` bits, so what is broadcast never exceeds bits / 8 bytes (4 MiB), however many values there are; with very many
+    of them it lets more unwanted rows through to the exact join.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    slots = wanted.where(F.col(column).isNotNull()).select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("pos")).repartition("slot")
+    maps = slots.groupBy("slot").agg(F.bitmap_construct_agg("pos").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("slot", F.bitmap_bucket_number(at)).withColumn("pos", F.bitmap_bit_position(at))
+    return placed.join(F.broadcast(maps), "slot").where(F.getbit(byte, (F.col("pos") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def components(scratch: Scratch, links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """links(a, b), both long -> (id, comp): the least id reachable, for ids that have links.
 

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, sieve, table
 
 K = 5
 THRESHOLD = 0.8
@@ -68,6 +68,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
         side = probes.where(F.col("k") == size).select("item", "code", "least")
         coded = docs.select(F.col(id_col).alias("id"), F.transform(word_list(text), lambda x: F.xxhash64(x)).alias("w")).where("id is not null")
         coded = coded.select("id", (F.size("w") - size + 1).alias("n"), F.explode(runs("w", size, lambda s: F.xxhash64(s))).alias("code"))
+        if not small:
+            coded = sieve(coded, side.select("code").distinct(), "code")
         one = coded.join(F.broadcast(side) if small else side, "code").where("n >= least").select("id", "item")
         found = one if found is None else found.unionByName(one)
     if found is None:

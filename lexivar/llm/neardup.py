@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Scratch, components, sieve, table
 from .text import distinct_per_doc, mix, pieces, shingles, words
 
 ROWS = 6
@@ -43,7 +43,6 @@ LIMIT = 2046
 REGISTERS = 512
 BLOCK = 2048
 ITEMS = 1_000_000
-SIEVE_BITS = 1 << 25
 HOT = 1000
 _U = np.uint64
 
@@ -121,20 +120,6 @@ def packed_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "id long, items binary")
 
 
-def _sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
-    """Drops most rows whose id is not wanted before its texts or sketches are shuffled; every wanted row stays.
-
-    Ids hash to a bitmap of `bits` bits, so what is broadcast never exceeds bits / 8 bytes (4 MiB), however many ids there are; with very many
-    of them it lets more unwanted rows through to the exact join.
-    """
-    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    slots = wanted.select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("pos")).repartition("slot")
-    maps = slots.groupBy("slot").agg(F.bitmap_construct_agg("pos").alias("map"))
-    byte = F.conv(F.hex(F.substring("map", (F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    placed = rows.withColumn("slot", F.bitmap_bucket_number(at)).withColumn("pos", F.bitmap_bit_position(at))
-    return placed.join(F.broadcast(maps), "slot").where(F.getbit(byte, (F.col("pos") % 8).cast("int")) == 1).select(*rows.columns)
-
-
 def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp(id, comp) with the components that new links(a, b) join; only the new links are followed, between components."""
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -279,11 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     floor, sure = threshold - 4.5 * margin, threshold + 4.5 * margin
 
     def drawn_of(some: DataFrame) -> DataFrame:
-        return _sieve(reps.withColumnRenamed("rep", "id"), some.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+        return sieve(reps, some.select("rep"), "rep")
 
     def items_of(ids: DataFrame) -> DataFrame:
         """Only documents that are asked for have their sets written out; one document stands for all with an equal set."""
-        return packed_sets(_sieve(rows, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), k)
+        return packed_sets(sieve(rows, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"]), k)
 
     found = scratch.save(_candidates(member.join(drawn_of(member), "rep").withColumn("comp", F.col("rep")), m, floor, threshold, sure), "found")
     pairs = scratch.save(found.where("a <> b").select("a", "b").distinct(), "pairs")
