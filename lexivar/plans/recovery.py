@@ -87,12 +87,13 @@ _N = "(case when n1 is not null then 1 else 0 end + case when n2 is not null the
 _PUTS = "case when k % 8 = 0 then 2 else 1 end"
 
 
-@query(f"""with {INGEST} select prog prog_name, {P.placeholder("f")} func_name, {P.placeholder("f")} || '(' || {P.PARAMS} || ')' declarator, cast({_N} + {_PUTS} + 1 as integer) n_calls,
+@query(f"""with {INGEST} select prog prog_name, {P.placeholder("f")} func_name, {P.placeholder("f")} || '(' || {P.PARAMS} || ')' declarator, case k % 3 when 0 then '' when 1 then 'a1' else 'a1,a2' end params, cast({_N} + {_PUTS} + 1 as integer) n_calls,
+cast(case when n1 is not null then 1 + k % 3 + case when k % 5 = 0 then 2 else 0 end else 0 end + case when n2 is not null then 2 else 0 end + {_PUTS} + 3 as integer) n_ids,
 k % 8 = 0 or not ({_N} > ({_N} + {_PUTS} + 1) * 0.3e0) sufficient, case when k % 8 = 0 then false else {_N} > ({_N} + {_PUTS} + 1) * 0.3e0 end overfit from funcs""")
 def code_features(spark, d):
     """Features of parsed code, whether its own context suffices and whether an answer would be by heart."""
     x = parsed_functions(spark, d)
-    return x.select("prog_name", "func_name", "declarator", F.size("calls").alias("n_calls"), H.context_sufficient().alias("sufficient"), H.likely_overfit().alias("overfit"))
+    return x.select("prog_name", "func_name", "declarator", F.array_join("params", ",").alias("params"), F.size("calls").alias("n_calls"), F.size(F.flatten("calls.ids")).alias("n_ids"), H.context_sufficient().alias("sufficient"), H.likely_overfit().alias("overfit"))
 
 
 _ARG = "case when k % 3 >= 1 then coalesce({v2}, 'v2') else '' end || case when k % 3 = 2 then ', ' || coalesce({a1}, 'a1') else '' end".format(v2=P.predicted(4), a1=P.predicted(1))

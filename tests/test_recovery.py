@@ -62,6 +62,7 @@ def test_parser_goes_on_behind_what_it_cannot_read():
     assert facts("int f() { a b c ))) ; g(1); }")["callees"] == ["g"] and facts("__int64 f(void) { return h(); }")["params"] == []
     assert [x["args"] for x in facts("f((char *)x, (y), !z, 7);")["ir"]] == [[{"kind": "var", "name": "x"}, {"kind": "var", "name": "y"}, {"kind": "opaque", "name": None}, {"kind": "opaque", "name": None}]]
     root = parse("int f() { g(h(1)); }")
+    assert [c["ids"] for c in facts("int f() { g(h(a), (T)b); }")["calls"]] == [["g", "h", "a", "b"], ["h", "a"]]
     assert len(list(root.find("call_expression"))) == 2 and len(list(root.find("call_expression", depth=0))) == 0
 
 
