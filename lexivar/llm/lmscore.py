@@ -80,7 +80,12 @@ def _deal(rows: DataFrame, order: int, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             h, length = np.concatenate(held), np.concatenate(lengths)
             keys, bucket, n, _, _ = _grams(h, length, order, buckets)
-            vocabulary, which = np.unique(h, return_inverse=True)
+            vocabulary, which, often = np.unique(h, return_inverse=True, return_counts=True)
+            # The most frequent words get the least numbers, so that their high bytes compress away.
+            rank = np.argsort(-often, kind="stable")
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            vocabulary, which = vocabulary[rank], place[which]
             base = b"".join(len(x).to_bytes(8, "little") + x for x in (np.concatenate(ids).tobytes(), length.tobytes(), vocabulary.tobytes(), _pack(which.astype(_U))))
             out = [(chunk % buckets, chunk, b"", b"", base)]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
