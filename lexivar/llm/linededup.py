@@ -11,8 +11,9 @@ others are removed. Lines under `min_chars` characters have no links: only equal
 
 Hot lines: a task emits the entries of a line once however often it stands there, so a key meets each line at most once a task. Lines that stand
 in more than one of HOT places are at most HOT, so their places are marked by broadcast; the others are joined. Buckets of up to SMALL distinct
-lines are joined; larger ones are dealt, with their texts, to tasks in pairs of blocks of about BLOCK lines. A pair of blocks is compared only where
-letter counts can be within the distance, and returns links that span its classes: no class is lost.
+lines are joined; larger ones are dealt, with their texts, to tasks in pairs of blocks of about BLOCK lines. Lines that meet under several keys are
+taken under the first of them, so each link counts once. A pair of blocks is compared wherever letter counts can be within the distance; it counts
+all links of each line and returns those that span its classes: neither a class nor a link in the numbers is lost.
 Equal lines are told by 128 bits of hash, links by 64 bits and the texts themselves.
 
 Rows: the row key is the id where ids are unique and not null, else the row's place in the table; so rows that share an id, or have none, keep
@@ -23,6 +24,7 @@ named in `keep`, which are handed on in a struct.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ MIN_CHARS = 20
 SMALL = 64
 BLOCK = 1024
 HOT = 1000
+#: Pairs of lines compared at once, and the longest lines for which that is done.
+BATCH = 1 << 15
+LONGEST = 4000
 #: Distinct lines a task remembers; beyond them it forgets, and a line may be emitted once more.
 REMEMBERED = 1_000_000
 
@@ -82,6 +87,28 @@ def within(a: str, b: str, most: int = MAX_EDITS) -> bool:
     return bool(near[most] >> (len(b) - len(a) + most) & 1)
 
 
+def all_within(places: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, more: np.ndarray, most: int = MAX_EDITS) -> np.ndarray:
+    """`within` for many pairs (a[k], b[k]) at once: columns of `places`, whose row most + i holds character i of each line, and 0 beyond its ends.
+    All lines a have n characters, each line b has more[k] others in addition."""
+    near = [np.full(len(a), ((1 << (e + 1)) - 1) << most & (1 << (2 * most + 1)) - 1, np.uint8) for e in range(most + 1)]
+    band = np.uint8((1 << (2 * most + 1)) - 1)
+    beside = [places[j][b] for j in range(2 * most)]
+    for i in range(n):
+        own = places[most + i][a]
+        beside.append(places[2 * most + i][b])
+        match = np.zeros(len(a), np.uint8)
+        for j, c in enumerate(beside):
+            match |= (own == c).view(np.uint8) << j
+        beside.pop(0)
+        new = [near[0] & match]
+        for e in range(1, most + 1):
+            new.append(near[e] & match | near[e - 1] | near[e - 1] >> 1 | new[e - 1] << 1 & band)
+        near = new
+        if not near[most].any():
+            break
+    return (near[most] >> (more + most).astype(np.uint8) & 1).astype(bool)
+
+
 def segments(n: int, most: int = MAX_EDITS) -> list[tuple[int, int]]:
     """(start, length) of the even partition of a line of n characters, longer segments last."""
     k = most + 1
@@ -94,6 +121,7 @@ def segments(n: int, most: int = MAX_EDITS) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(20_000)
 def probes(own: int, n: int, most: int = MAX_EDITS) -> list[tuple[int, int, int]]:
     """(segment number, start, length) of the substrings with which a line of `own` characters looks up lines of n <= own."""
     more, out = own - n, []
@@ -104,6 +132,20 @@ def probes(own: int, n: int, most: int = MAX_EDITS) -> list[tuple[int, int, int]
     return out
 
 
+def _seed(n: int, i: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{n}:{i}")
+
+
+def first_key(shorter: str, longer: str) -> int:
+    """The key under which a pair within the distance counts: of the first segment of the shorter line that the longer one looks up and has."""
+    n, parts = len(shorter), segments(len(shorter))
+    for i, at, size in probes(len(longer), n):
+        part = shorter[parts[i][0] : parts[i][0] + size]
+        if longer.startswith(part, at):
+            return xxhash.xxh3_64_intdigest(part, _seed(n, i))
+    raise ValueError("the lines share no segment, so they are not within the distance")
+
+
 def line_keys(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """lines(h, line) -> (key, h, probe): the index and probe entries of each line, once a task."""
 
@@ -120,8 +162,8 @@ def line_keys(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 n = len(s)
                 plan = plans.get(n)
                 if plan is None:
-                    plan = [(xxhash.xxh3_64_intdigest(f"{n}:{i}"), at, at + size, False) for i, (at, size) in enumerate(segments(n))]
-                    plan += [(xxhash.xxh3_64_intdigest(f"{m}:{i}"), at, at + size, True) for m in range(max(min_chars, n - MAX_EDITS), n + 1) for i, at, size in probes(n, m)]
+                    plan = [(_seed(n, i), at, at + size, False) for i, (at, size) in enumerate(segments(n))]
+                    plan += [(_seed(m, i), at, at + size, True) for m in range(max(min_chars, n - MAX_EDITS), n + 1) for i, at, size in probes(n, m)]
                     if len(plans) < 20_000:
                         plans[n] = plan
                 for seed, a, b, p in plan:
@@ -140,25 +182,36 @@ def line_keys(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, ga, gb, la, lb) -> those within the distance."""
+    """pairs(a, b, ga, gb, la, lb), a < b -> those within the distance, each one link of both, and the key under which they count."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [within(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)], ["a", "b", "ga", "gb"]).filter(pa.array(keep, pa.bool_()))
+            key = [(first_key(x, y) if len(x) <= len(y) else first_key(y, x)) if within(x, y) else None for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            keep = pa.array([k is not None for k in key], pa.bool_())
+            keys = pa.array(np.array([k for k in key if k is not None], np.uint64).view(np.int64))
+            one = pa.array(np.ones(len(keys), np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).filter(keep) for k in range(4)), one, one, keys], ["a", "b", "ga", "gb", "na", "nb", "key"])
 
-    return pairs.select("a", "b", "ga", "gb", "la", "lb").mapInArrow(verify, LINK)
+    return pairs.select("a", "b", "ga", "gb", "la", "lb").mapInArrow(verify, f"{LINK}, key long")
 
 
-LINK = "a long, b long, ga long, gb long"
+#: na and nb: how many links of a and of b the row stands for.
+LINK = "a long, b long, ga long, gb long, na long, nb long"
 
 
 def _spanning(group: pa.Table) -> pa.Table:
-    """Links that connect all linked lines of two blocks of a large bucket (or of one: i = j). Lines are ordered by a letter count, so that only a
-    run of them can be within the distance."""
-    ids, more, texts = (group.column(c).to_pylist() for c in ("h", "g", "line"))
-    own = group.column("own").to_numpy()
+    """Links that connect all linked lines of two blocks of a large bucket (or of one: i = j), with the number of all links of each line that count
+    under the bucket's key. Lines are ordered by a letter count, so that only a run of them can be within the distance."""
+    ids, more, texts, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "line", "own"))
+    key = group.column("key")[0].as_py() & (1 << 64) - 1
     across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    sizes = np.array([len(s) for s in texts])
+    # What the key stands for, as read from a line that is indexed under it. Without such a line nothing is looked up here.
+    plans = {n: [(i, at, size, _seed(n, i)) for i, (at, size) in enumerate(segments(n))] for n in set(sizes.tolist())}
+    of = next(((n, i, s[at : at + size]) for n, s in zip(sizes.tolist(), texts) for i, at, size, seed in plans[n] if xxhash.xxh3_64_intdigest(s[at : at + size], seed) == key), None)
+    if of is None:
+        return _links([])
+    n, segment, part = of
     counts = np.zeros((len(ids), 32), np.int32)
     for i, s in enumerate(texts):
         counts[i] = np.bincount(np.frombuffer(s.encode(), np.uint8) & 31, minlength=32)
@@ -166,7 +219,21 @@ def _spanning(group: pa.Table) -> pa.Table:
     slack = np.where([s.isascii() for s in texts], 2 * MAX_EDITS, 8 * MAX_EDITS)
     pick = int(counts.var(0).argmax())
     order = np.argsort(counts[:, pick], kind="stable")
-    level, parent, out = counts[order, pick], list(range(len(ids))), []
+    ids, more, texts, own, sizes, counts, slack = (x[order] for x in (ids, more, texts, own, sizes, counts, slack))
+    level = counts[:, pick].copy()
+    # Pairs that also meet under an earlier segment count there: `held` has the segments of the indexed lines, `sought` what each line looks up.
+    parts, codes = segments(n), {}
+    indexed = [k for k in np.flatnonzero(sizes == n).tolist() if texts[k].startswith(part, parts[segment][0])]
+    held = {k: [codes.setdefault((i, texts[k][at : at + size]), len(codes)) for i, (at, size) in enumerate(parts[:segment])] for k in indexed}
+    looks = [[[codes.get((i, s[at : at + size]), -1) for j, at, size in probes(len(s), n) if j == i] for i in range(segment)] for s in texts]
+    width = [max(len(x[i]) for x in looks) for i in range(segment)]
+    sought = [(i, np.array([x[i][w] if w < len(x[i]) else -1 for x in looks])) for i in range(segment) for w in range(width[i])]
+    places = None
+    if n <= LONGEST:
+        places = np.zeros((n + 3 * MAX_EDITS, len(ids)), np.uint32)
+        for k, s in enumerate(texts):
+            places[MAX_EDITS : MAX_EDITS + len(s), k] = np.frombuffer(s.encode("utf-32-le"), np.uint32) + 1
+    degree, parent, out, waiting = np.zeros(len(ids), np.int64), list(range(len(ids))), [], []
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -174,21 +241,49 @@ def _spanning(group: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    for at, i in enumerate(order):
-        to = int(np.searchsorted(level, level[at] + 8 * MAX_EDITS, "right"))
-        rest = order[at + 1 : to]
-        if across:  # pairs within a block are compared where the block stands alone
-            rest = rest[own[rest] != own[i]]
-        if not len(rest):
-            continue
-        close = rest[np.abs(counts[rest] - counts[i]).sum(1) <= np.maximum(slack[rest], slack[i])]
-        for j in close:
-            x, y = find(int(i)), find(int(j))
-            if x != y and within(texts[i], texts[j]):
+    def compare() -> None:
+        a, b = np.repeat([k for k, _ in waiting], [len(x) for _, x in waiting]), np.concatenate([x for _, x in waiting])
+        waiting.clear()
+        good = np.array([within(texts[x], texts[y]) for x, y in zip(a, b)], bool) if places is None else all_within(places, a, b, n, sizes[b] - n)
+        a, b = a[good], b[good]
+        np.add.at(degree, a, 1)
+        np.add.at(degree, b, 1)
+        roots = np.array([find(k) for k in range(len(ids))])
+        apart = roots[a] != roots[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+            x, y = find(i), find(j)
+            if x != y:
                 parent[max(x, y)] = min(x, y)
-                a, b = sorted(((ids[i], more[i]), (ids[j], more[j])))
-                out.append((a[0], b[0], a[1], b[1]))
-    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "ga", "gb"])
+                out.append((i, j))
+
+    ready = 0
+    for k in indexed:
+        lo, hi = np.searchsorted(level, level[k] - 8 * MAX_EDITS, "left"), np.searchsorted(level, level[k] + 8 * MAX_EDITS, "right")
+        rest = (sizes[lo:hi] > n) | (ids[lo:hi] > ids[k])
+        if across:  # pairs within a block are compared where the block stands alone
+            rest &= own[lo:hi] != own[k]
+        for i, codes_at in sought:
+            rest &= codes_at[lo:hi] != held[k][i]
+        rest = lo + np.flatnonzero(rest)
+        rest = rest[np.abs(counts[rest] - counts[k]).sum(1) <= np.maximum(slack[rest], slack[k])]
+        if len(rest):
+            waiting.append((k, rest))
+            ready += len(rest)
+        if ready >= BATCH:
+            compare()
+            ready = 0
+    if waiting:
+        compare()
+    rows = []
+    for i, j in out:  # each line's links stand beside its first link of those returned
+        x, y = sorted((i, j), key=lambda k: ids[k])
+        rows.append((ids[x], ids[y], more[x], more[y], degree[x], degree[y]))
+        degree[x] = degree[y] = 0
+    return _links(rows)
+
+
+def _links(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([int(x[k]) for x in rows], pa.int64()) for k in range(6)], ["a", "b", "ga", "gb", "na", "nb"])
 
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -198,7 +293,7 @@ def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def line_links(scratch: Scratch, lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b, ga, gb): links that give the classes of the lines' distinct texts."""
+    """(a, b, ga, gb, na, nb): links that give the classes of the lines' distinct texts. A text's na and nb add up to the number of texts it is linked to."""
     entries = line_keys(lines.select("h", "line"), min_chars)
     w = W.partitionBy("key")
     met = entries.withColumns({"lo": F.min("h").over(w), "hi": F.max("h").over(w), "index": F.min(F.col("probe")).over(w), "probed": F.max(F.col("probe")).over(w)})
@@ -214,12 +309,14 @@ def line_links(scratch: Scratch, lines: DataFrame, min_chars: int = MIN_CHARS) -
     texts = scratch.save(lines.select("h", "g", "line").join(live.select("h").distinct(), "h", "left_semi").dropDuplicates(["h", "g"]), "texts")
     side = lambda s: texts.select(F.col("h").alias(s), F.col("g").alias(f"g{s}"), F.col("line").alias(f"l{s}"))
     direct = _verify(pairs.join(side("a"), "a").join(side("b"), "b"))
+    # Pairs that met in a small bucket, but count in a large one, are counted there.
+    direct = direct.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_anti").drop("key")
     members = large.select("key", "h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).distinct()
     own = F.pmod(F.xxhash64("h", F.lit(2)), F.col("blocks")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     spanned = members.join(texts, "h").groupBy("key", "i", "j").applyInArrow(_spanning, LINK)
-    return scratch.save(direct.unionByName(spanned).distinct(), "links")
+    return scratch.save(direct.unionByName(spanned), "links")
 
 
 def _marked(place: DataFrame, doubled: DataFrame, lines: int) -> DataFrame:
@@ -231,8 +328,8 @@ def _marked(place: DataFrame, doubled: DataFrame, lines: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, n_lines, n_removed, n_links, clean_text) of each row, and `row`, a struct of the columns named in keep, if any are; n_links: links from its
-    lines to lines of other text that the classes were built from."""
+    """(id_col, n_lines, n_removed, n_links, clean_text) of each row, and `row`, a struct of the columns named in keep, if any are; n_links: for each of its
+    lines, the number of other texts of lines within the distance, added up."""
     scratch = Scratch(docs.sparkSession, "lines")
     docs = unique_rows(scratch, docs, id_col, "__line_row")
     lines = split_lines(docs, "__line_row", text)
@@ -245,8 +342,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     thin = lines.where(F.length("line") >= min_chars).join(F.broadcast(hot), ["h", "g"], "left").where(F.col("first").isNull() | (F.struct("row", "pos") == F.col("first")))
     links = line_links(scratch, thin, min_chars)
     comp = components(scratch, links, "classes")
-    linked = links.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("ga").alias("g")), F.struct(F.col("b").alias("h"), F.col("gb").alias("g")))).alias("x"))
-    linked = linked.groupBy("x.h", "x.g").agg(F.count(F.lit(1)).alias("deg")).join(comp.select(F.col("id").alias("h"), "comp"), "h")
+    linked = links.select(F.explode(F.array(*[F.struct(F.col(x).alias("h"), F.col(f"g{x}").alias("g"), F.col(f"n{x}").alias("n")) for x in "ab"])).alias("x"))
+    linked = linked.groupBy("x.h", "x.g").agg(F.sum("x.n").alias("deg")).join(comp.select(F.col("id").alias("h"), "comp"), "h")
     alone = once.where("n > 1").join(linked, ["h", "g"], "left_anti").select("h", "g", "first", "n", F.lit(0).cast("long").alias("deg"))
     known = once.join(linked, ["h", "g"])
     classes = known.groupBy("comp").agg(F.min("first").alias("head"))

@@ -175,6 +175,44 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert got == sorted([("1", same), ("2", ""), ("2", other), ("None", ""), ("None", "one more line that nobody else has")])
 
 
+def brute_links(rows, min_chars=20):
+    """For each key, over its lines, the number of other texts within the distance."""
+    texts = {x for _, t in rows for x in t.split("\n") if len(x) >= min_chars}
+    many = {x: sum(x != y and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in texts) for x in texts}
+    return {k: sum(many.get(x, 0) for x in t.split("\n")) for k, t in rows}
+
+
+@pytest.mark.parametrize(("small", "block"), [(64, 1024), (64, 40), (1, 3)])
+def test_links_of_lines_against_all_pairs(spark, monkeypatch, small, block):
+    """Each link between different texts counts once, wherever it is found: in buckets of either kind, under several keys, in several blocks."""
+    monkeypatch.setattr(linededup, "SMALL", small)
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rnd = random.Random(12)
+    near = [f"{a}a line of a very large group{b} of near cop\u00efes{c}" for a in ("", "1", "22") for b in "\u20acbcd" for c in ("", *"123456789")]
+    rows = [(i, f"{x}\nalone\n{rnd.choice(near)}") for i, x in enumerate(near)] + [(1000 + i, t) for i, t in noisy_lines(rnd, 60)]
+    got = {r["doc_id"]: r["n_links"] for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_links(rows)
+
+
+def test_links_of_many_long_lines(spark):
+    """Beyond the length to which pairs are compared at once."""
+    rows = [(i, "a long line, " * 350 + chr(97 + i // 9) + chr(97 + i % 9)) for i in range(80)]
+    got = [r["n_links"] for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [79] * 80
+
+
+def test_many_pairs_at_once():
+    rnd = random.Random(3)
+    short = ["".join(rnd.choice("ab\u20ac") for _ in range(9)) for _ in range(60)]
+    texts = short + ["".join(rnd.choice("ab\u20ac") for _ in range(rnd.randint(9, 11))) for _ in range(60)]
+    places = np.zeros((15, 120), np.uint32)
+    for k, x in enumerate(texts):
+        places[2 : 2 + len(x), k] = [ord(c) + 1 for c in x]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(120)))
+    got = linededup.all_within(places, a, b, 9, np.array([len(x) for x in texts])[b] - 9)
+    assert got.tolist() == [edits(texts[x], texts[y]) <= 2 for x, y in zip(a, b)]
+
+
 # -- archives
 
 
