@@ -67,6 +67,7 @@ def test_classes_of_delimiters_are_the_same(spark):
 
 def test_exact_pairs_without_bodies_and_in_several_lists(spark, monkeypatch):
     monkeypatch.setattr(overlap, "LISTED", 3)
+    monkeypatch.setattr(overlap, "TRAIN_LISTED", 2)
     rows = lambda p, n: [(f"{p}{i}", f"sub_{i}", ("", "a#b", "c")[i % 3]) for i in range(n)]
     schema = "prog_name string, func_name string, sig string"
     test, train = rows("t", 23), rows("u", 61)
