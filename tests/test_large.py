@@ -5,9 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from lexivar.functions import names as N
-from lexivar.operators import graph, ingest, overlap
+from lexivar.operators import graph, ingest, overlap, preference, scoring
 from lexivar.parsing import facts as M
 from lexivar.plans import programs as P
+from lexivar.plans import recovery
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,15 @@ def test_exact_pairs_without_bodies_and_in_several_lists(spark, monkeypatch):
     got = overlap.exact(*(spark.createDataFrame(x, schema) for x in (test, train)))
     keys = sorted((r["prog_name"], r["func_name"], r["train_prog_name"], r["train_func_name"], r["sig"], r["train_sig"], r["name_ratio"]) for r in got.collect())
     assert keys == sorted((a[0], a[1], b[0], b[1], a[2], b[2], 100) for a in test for b in train if a[2] == b[2])
+
+
+def test_answers_are_parsed_once(spark):
+    entries = spark.createDataFrame([("p", "sub_1", [(0, "{'a1': 'x', 'v1': 'y'}", 0.5), (1, "no map", 0.4), (2, "{}", 0.3)])], "prog_name string, func_name string, answers array<struct<pos:int,raw:string,prob:double>>")
+    df = scoring.by_id(scoring.parsed_answers(entries))
+    assert not [x for x in plan(df).split("\n") if "Filter" in x and "from_json" in x]
+    assert sorted((r["varname"], r["names"][0]["name"], len(r["names"])) for r in df.collect()) == [("a1", "x", 1), ("v1", "y", 1)]
+
+
+def test_functions_are_drawn_once_for_scores_and_pairs(spark):
+    for df in (scoring.scored_names(recovery.answered(spark, SF)), preference.preference_pairs(recovery.preference_entries(spark, SF))):
+        assert "inline(" not in plan(df)  # which draws mentions from code
