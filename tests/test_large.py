@@ -1,11 +1,12 @@
 """What keeps the queries on programs fast on large tables: one pass over the programs, one parse a shape, and pairs that arise in the last step."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from lexivar.functions import names as N
-from lexivar.operators import graph, ingest, overlap, preference, scoring
+from lexivar.operators import fuzzy, graph, ingest, overlap, preference, scoring
 from lexivar.parsing import facts as M
 from lexivar.plans import programs as P
 from lexivar.plans import recovery
@@ -87,3 +88,13 @@ def test_answers_are_parsed_once(spark):
 def test_functions_are_drawn_once_for_scores_and_pairs(spark):
     for df in (scoring.scored_names(recovery.answered(spark, SF)), preference.preference_pairs(recovery.preference_entries(spark, SF))):
         assert "inline(" not in plan(df)  # which draws mentions from code
+
+
+def test_a_matcher_used_again_gives_the_same_ratio():
+    rng, match = random.Random(5), SequenceMatcher(None)
+    texts = ["".join(rng.choice("ab(); sub_") for _ in range(rng.choice((0, 1, 40, 230)))) for _ in range(25)]
+    for b in texts:
+        match.set_seq2(b)
+        for a in texts:
+            match.set_seq1(a)
+            assert fuzzy.percent(match) == fuzzy.ratio(a, b)
